@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, neardup, packing, quotas, splitting
+from . import bpe, neardup, packing, quotas, sentences, splitting
 
 QUERIES = {
     "p2_found": quotas.p2_found,
@@ -10,6 +10,8 @@ QUERIES = {
     "p2_sample": quotas.p2_sample,
     "p3_found": splitting.p3_found,
     "p3_pieces": splitting.p3_pieces,
+    "p4_found": sentences.p4_found,
+    "p4_sentences": sentences.p4_sentences,
     "p5_found": neardup.p5_found,
     "p5_classes": neardup.p5_classes,
     "p6_ids": bpe.p6_ids,
