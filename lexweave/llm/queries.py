@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, neardup, packing, quotas, sentences, splitting
+from . import bpe, neardup, packing, pairs, quotas, sentences, splitting
 
 QUERIES = {
+    "p1_found": pairs.p1_found,
     "p2_found": quotas.p2_found,
     "p2_report": quotas.p2_report,
     "p2_sample": quotas.p2_sample,
