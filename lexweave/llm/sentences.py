@@ -472,7 +472,7 @@ def sentence_ends(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = sentence_ends(table(spark, sf_dir, "corpus_clean", "doc_id", "text"))
     once = ends.groupBy("doc_id").agg(F.min("ends").alias("ends"))
-    return once.select("doc_id", F.explode("ends").cast("bigint").alias("end_pos")).distinct()
+    return once.select("doc_id", F.explode("ends").alias("end")).select("doc_id", F.col("end").cast("bigint").alias("end_pos"))
 
 
 def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
