@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, neardup, packing, pairs, quotas, sentences, splitting
+from . import bpe, neardup, packing, pairs, quotas, reading, sentences, splitting
 
 QUERIES = {
     "p1_found": pairs.p1_found,
@@ -19,6 +19,9 @@ QUERIES = {
     "p7_found": packing.p7_found,
     "p7_bins": packing.p7_bins,
     "p7_fill": packing.p7_fill,
+    "p8_found": reading.p8_found,
+    "p8_levels": reading.p8_levels,
+    "p8_profile": reading.p8_profile,
 }
 
 _LETTERS = r"regexp_replace(lower({}), '[^\p{{L}}]', '', 'g')"
