@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import corpus as C
 from ..session import table
-from .scalars import YEAR_SQL, words_sql
+from .scalars import FAMILY_SQL, YEAR_SQL, nested_sql, strip_sql, words_sql
 
 FAMILIES = ", ".join(f"count(*) FILTER (family = '{f}') AS \"{f}\"" for f in C.FAMILIES)
 
@@ -181,6 +181,9 @@ _FLAGS["has_steps"] = f"len(regexp_extract_all(text, '{T.FLAG_PATTERNS['has_step
 SQL = {
     "select_corpus": f"SELECT doc_id, title, form, {_W} AS words FROM {DOCS} WHERE {_any(C.KEYWORDS)} AND form IN ({_in(C.FORMS)}) AND {_W} >= {C.MIN_WORDS}",
     "doc_id_seq": f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq, celex FROM {DOCS}",
+    "ingest_documents": f"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, celex, title, family, date, url, length(raw) AS chars FROM ({nested_sql(
+        f"SELECT doc_id, coalesce(celex, '') AS celex, replace(coalesce(title, ''), chr(160), ' ') AS title, {FAMILY_SQL} AS family, {strip_sql("split_part(coalesce(date, ''), ';', 1)")} AS date, coalesce(url, '') AS url, coalesce(text, '') AS raw FROM {DOCS}",
+        "doc_id, celex, title, family, date, url")})""",
     "stratified_sample": f"SELECT doc_id, stratum, pick FROM (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || doc_id), doc_id) AS pick FROM {_STRATA} WHERE stratum IS NOT NULL) WHERE pick <= {_QUOTA}",
     "stratum_report": f"SELECT stratum, count(doc_id) AS pool, least(count(doc_id), n) AS sampled FROM (VALUES {', '.join(f'({i}, {n})' for i, (*_, n) in enumerate(C.STRATA))}) d(stratum, n) LEFT JOIN {_STRATA} USING (stratum) GROUP BY stratum, n",
     "sample_per_family": f"""SELECT family, doc_id FROM (SELECT *, max(long) OVER (PARTITION BY family) AS any_long FROM (SELECT doc_id, coalesce(family, '') AS family, coalesce(length(text), 0) > 2000 AS long FROM {DOCS}))

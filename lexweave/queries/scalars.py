@@ -94,12 +94,11 @@ def _raw_query(expression: str) -> str:
     return f"SELECT doc_id, ingested_at, {expression} AS out FROM (SELECT doc_id, ingested_at, {RAW_SQL} AS raw FROM corpus_clean)"
 
 
-def _nested(x: str) -> str:
-    """The chain in stages, so that the text of each step is not repeated in the next."""
-    q = f"SELECT doc_id, ingested_at, {RAW_SQL} AS raw FROM corpus_clean"
+def nested_sql(q: str, keep: str = "doc_id, ingested_at") -> str:
+    """The chain over ``q(..., raw)`` in stages, so that the text of each step is not repeated in the next."""
     for f in (header_sql, footnotes_sql, top_sql, links_sql, markup_sql, tables_sql, space_sql, strip_sql):
-        q = f"SELECT doc_id, ingested_at, {f('raw')} AS raw FROM ({q})"
-    return f"SELECT doc_id, ingested_at, raw AS out FROM ({q})"
+        q = f"SELECT {keep}, {f('raw')} AS raw FROM ({q})"
+    return q
 
 
 def _sql(**outs: str) -> str:
@@ -150,7 +149,7 @@ SQL = {
     "clean_markup": _raw_query(markup_sql("raw")),
     "clean_tables": _raw_query(tables_sql("raw")),
     "clean_whitespace": _raw_query(space_sql("raw")),
-    "clean_text": _nested("raw"),
+    "clean_text": f"SELECT doc_id, ingested_at, raw AS out FROM ({nested_sql(f'SELECT doc_id, ingested_at, {RAW_SQL} AS raw FROM corpus_clean')})",
     "classify_family": _sql(derived=FAMILY_SQL),
     "split_date": f"SELECT doc_id, ingested_at, coalesce({strip_sql("split_part(d, ';', 1)")}, '') AS day, CASE WHEN contains(d, ';') THEN {strip_sql("substring(d, strpos(d, ';') + 1)")} ELSE '' END AS kind FROM (SELECT doc_id, ingested_at, CASE WHEN date IS NULL OR date_type IS NULL THEN NULL ELSE {_DATED} END AS d FROM corpus_clean)",
     "parse_year": _sql(year=YEAR_SQL),
