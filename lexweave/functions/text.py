@@ -93,7 +93,7 @@ def flatten_tables(c: Column) -> Column:
 
 
 def tidy_space(c: Column) -> Column:
-    steps = [(" ", " "), (r"(?md)^[ \t]+$", ""), (rf"(?md)(?:^---[{WS}]*$\n*){{2,}}", "---\n"), (r"\n{3,}", "\n\n")]
+    steps = [("\u00a0", " "), (r"(?md)^[ \t]+$", ""), (rf"(?md)(?:^---[{WS}]*$\n*){{2,}}", "---\n"), (r"\n{3,}", "\n\n")]
     return reduce(lambda x, s: F.regexp_replace(x, *s), steps, c)
 
 

@@ -63,7 +63,7 @@ def clean_documents(raw: DataFrame) -> DataFrame:
     out = raw.select(
         "file_pos",
         m("celex").alias("celex"),
-        F.replace(m("title"), F.lit(" "), F.lit(" ")).alias("title"),
+        F.replace(m("title"), F.lit("\u00a0"), F.lit(" ")).alias("title"),
         m("form").alias("form"),
         T.family(m("celex"), m("form")).alias("family"),
         m("author").alias("author"),

@@ -138,7 +138,7 @@ QUERIES = {
     "model_slug": _on("celex form", slug=lambda: T.model_slug(F.concat_ws("/", "celex", "form"))),
     "metric_names": _on("form", name=lambda: T.metric_name(F.concat(F.coalesce("form", F.lit("x")), F.lit("(mode=relevant)")))),
     "typed_default": _on("pages", n=lambda: T.typed(F.col("pages"), "int", -1)),
-    "clean_projection": _on("celex title form family author latest pages url", **{c: (lambda c=c: F.coalesce(F.col(c), F.lit(""))) for c in "celex form family author latest pages url".split()}, title=lambda: F.replace(F.coalesce("title", F.lit("")), F.lit(" "), F.lit(" "))),
+    "clean_projection": _on("celex title form family author latest pages url", **{c: (lambda c=c: F.coalesce(F.col(c), F.lit(""))) for c in "celex form family author latest pages url".split()}, title=lambda: F.replace(F.coalesce("title", F.lit("")), F.lit("\u00a0"), F.lit(" "))),
 }
 
 SQL = {
