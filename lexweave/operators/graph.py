@@ -10,7 +10,7 @@ from ..functions import text as T
 
 def entities(c: Column) -> Column:
     """Distinct capitalised words of five letters and more, the stand-in for a named-entity model."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b[A-Z][a-z]{4,}\b"), F.lit(0))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"[A-Z][a-z]{4,}"), F.lit(0))))
 
 
 def nodes(docs: DataFrame) -> DataFrame:

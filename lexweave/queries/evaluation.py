@@ -12,7 +12,7 @@ from .corpus import DOCS, _QUOTA, _STRATA
 from .scalars import words_sql
 
 WS = T.WS
-ENTITY = r"\b[A-Z][a-z]{4,}\b"
+ENTITY = "[A-Z][a-z]{4,}"
 
 # Published runs by stage in the order they were declared: variant, strategy, k, recall, precision.
 RUNS = [
