@@ -47,7 +47,8 @@ FLAG_PATTERNS = {
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
+    # the look-behind keeps long runs of white space linear
+    return F.regexp_replace(c, rf"\A[{WS}]++|(?<![{WS}])[{WS}]++\z", "")
 
 
 def word_count(c: Column) -> Column:
@@ -63,8 +64,8 @@ def words_estimate(c: Column) -> Column:
 def drop_header(c: Column) -> Column:
     """From the first line that looks like content; unchanged where none does."""
     lines = F.split(c, "\n", -1)
-    content = F.transform(lines, lambda x: (F.char_length(strip(x)) > 15) & ~F.substring(strip(x), 1, 1).isin("|", "#", "[", "*", "-", "!"))
-    first = F.array_position(content, True)
+    # more than 15 characters between the first and the last visible one, and no markup first
+    first = F.array_position(F.transform(lines, lambda x: x.rlike(rf"(?s)\A[{WS}]*+[^{WS}|#\[*\-!].{{14,}}[^{WS}]")), True)
     return F.when(first > 0, F.array_join(F.slice(lines, first.cast("int"), F.size(lines)), "\n")).otherwise(c)
 
 
@@ -73,7 +74,7 @@ def drop_footnotes(c: Column) -> Column:
 
 
 def drop_top_link(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"\[Top\]\(#[^)]*\)", ""), rf"(?:[{WS}]*+---)+[{WS}]*+\z", "")
+    return F.regexp_replace(F.regexp_replace(c, r"\[Top\]\(#[^)]*\)", ""), rf"(?<![{WS}])(?:[{WS}]*+---)+[{WS}]*+\z", "")
 
 
 def drop_links(c: Column) -> Column:

@@ -23,9 +23,10 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "page_content
     return words.select("chunk_id", "dl", F.explode("ts").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def statistics(chunks: DataFrame, posts: DataFrame, text: str = "page_content") -> tuple[DataFrame, DataFrame]:
+def statistics(chunks: DataFrame, posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row ``n, avgdl, floor``, idf by term). ``floor`` replaces negative idf: EPSILON times the mean idf."""
-    size = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(T.word_count(F.col(text)), F.lit(0))).alias("avgdl"))
+    n = chunks.select("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    size = n.crossJoin(posts.agg(F.sum("tf").alias("words"))).select("n", (F.col("words") / F.col("n")).alias("avgdl"))  # one row
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(size)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))  # one row
     one = size.crossJoin(raw.agg((F.avg("raw") * EPSILON).alias("floor")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,17 +27,33 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Columns whose processing is worth a task of its own for every core.
+LONG = {"text", "page_content", "parent_text", "reference_contexts", "retrieved_contexts"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """One of the Parquet tables, pruned to ``columns`` where any are given."""
+    """One of the Parquet tables, pruned to ``columns`` where any are given.
+
+    A file of one row group is one task however many cores there are; texts of
+    such a table are spread first. Larger tables are scanned as they lie.
+    """
     df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    return spread(df.select(*columns)) if columns and LONG.intersection(columns) else df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least as many partitions as the session has cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
 
 
-def settle(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage in the cluster's shared checkpoint folder.
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage: ``df`` as a table written once in the cluster's shared folder.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset and the master is local, as in tests, is a temporary folder used.
+    unset and the master is local, as in tests, is a temporary folder used. A
+    written table is computed once, where ``checkpoint()`` computes twice, and
+    outlives the loss of any executor.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -43,6 +62,9 @@ def settle(df: DataFrame, eager: bool = True) -> DataFrame:
         if not shared:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="lexweave-checkpoint-")
+            shared = tempfile.mkdtemp(prefix="lexweave-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager)
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
