@@ -26,9 +26,10 @@ from math import log
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import settle, table
+from ..session import settle, spread, table
 
 GROUPS, PARTS, KEPT = 8, 6, 4
 CELLS = GROUPS * PARTS
@@ -209,9 +210,7 @@ def linked(df: DataFrame, similarity: float = 0.6, least_chars: int = 400) -> tu
     reps = found.groupBy("copy").agg(F.min_by(F.struct("doc_id", "n", "cells"), "doc_id").alias("r")).select("copy", "r.*")
     members = members.join(reps.select("copy", F.col("doc_id").alias("a")), "copy").select("doc_id", "a")
     reps = settle(reps.select("doc_id", "n", "cells"))
-    from pyspark.sql import Window as W
-
-    sig = signed(reps, similarity).repartition("sig")
+    sig = signed(spread(reps), similarity).repartition("sig")
     shared = settle(sig.withColumn("many", F.count(F.lit(1)).over(W.partitionBy("sig"))).filter("many > 1").select("sig", "id"))
     x, y = shared.withColumnRenamed("id", "a"), shared.withColumnRenamed("id", "b")
     candidates = x.join(y, "sig").filter("a < b").select("a", "b").distinct()

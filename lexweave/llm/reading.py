@@ -101,7 +101,7 @@ class Model:
                 y.append(float(v))
                 of.append(i)
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for u in units for w in self._words(u)} - {"@"}))}
-        dense = np.array([self._syntax(u, self._words(u)) for u in units]).reshape(len(units), -1)
+        dense = np.array([self._syntax(u, self._words(u)) for u in units] or np.zeros((0, 16)))
         self.mean = dense.mean(0) if units else np.zeros(1)
         self.scale = dense.std(0) + 1e-6 if units else np.ones(1)
         x = np.zeros((len(units), dense.shape[1] + len(self.vocabulary)))

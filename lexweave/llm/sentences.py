@@ -356,9 +356,11 @@ def _stop_ends(text: str, i: int, j: int, start: int, end: int) -> int:
         p = text[i - 1]
         if p.isalpha() or category(p)[0] == "M":
             single = p.isalpha() and (i - 2 < start or not text[i - 2].isalnum() and text[i - 2] not in "’'-" and category(text[i - 2])[0] != "M")
-            if single and _cased(p) and i - 2 >= start and text[i - 2] != ".":
+            if single and p.isupper() and i - 2 >= start and text[i - 2] != ".":
                 before = _previous(text, i - 1, start).lower().strip("(,;:“„«")
                 return j if before in LABEL_BEFORE else 0
+            if single and text[n].isalpha() and text[n + 1 : n + 2] == ".":
+                return 0  # "z. B."
             if single and not _cased(p) and not _CJK.match(p) and i - 2 >= start and text[i - 2].isspace():
                 return 0
             ab = _abbreviation(text, i, start)
@@ -430,6 +432,8 @@ def _line_ends(text: str, line: int, i: int, j: int, end: int, start: int, guard
         at = line + k - 1
         if last == "." and text[at - 1 : at] != ".":
             stop = _stop_ends(text, at, at + 1, start, end)
+            if not stop and _abbreviation(text, at, start) == 1:
+                return False
             return bool(stop) or not (wrapped or text[n].islower())
         return not (text[n].islower() and (last in "!?…" or k < len(bare)))
     if last in ";;" and last and _greek(text, i, start) and _starts(text, n, nxt) == "U":
