@@ -26,7 +26,13 @@ QUERIES = {
 
 _LETTERS = r"regexp_replace(lower({}), '[^\p{{L}}]', '', 'g')"
 
+_RUN = "[^\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}.!?…。！？؟।；]+"
+
 SQL = {
+    "p3_found": " UNION ".join(
+        f"SELECT '{t}.{x}' AS item_field, {k} AS item_id, CASE WHEN list_max(list_transform(regexp_extract_all({x}, '{_RUN}'), lambda r: length(r))) > max_chars THEN 'forced' ELSE 'natural' END AS cut FROM {t}, size_limits WHERE item_field = '{t}.{x}' AND length({x}) > max_chars"
+        for t, k, x in (("corpus_clean", "doc_id", "text"), ("chunks", "chunk_id", "page_content"), ("chunks", "chunk_id", "parent_text"))
+    ),
     "p2_found": f"""
         WITH c AS (SELECT doc_id, min(coalesce({_LETTERS.format("family")}, '')) AS fam, min(coalesce({_LETTERS.format("form")}, '')) AS form
                    FROM corpus_clean WHERE doc_id IS NOT NULL GROUP BY doc_id),

@@ -296,8 +296,8 @@ def _quote_ends(text: str, opened: int, i: int, j: int, start: int, end: int) ->
         before = text[opened - 1] if opened > start else ""
         return bool(_CJK.match(text[n])) and before in "：:" and before != ""
     kind = _starts(text, n, end)
-    if kind == "U" and not _cased(text[n]):
-        return False  # no capitals to tell a new sentence from the rest of this one
+    if kind == "U" and not _cased(text[n]):  # no capitals to tell a new sentence from the rest of this one
+        return bool(_CJK.match(text[n])) and opened > start and text[opened - 1] in "：:"
     return kind in ("U", "o")
 
 
