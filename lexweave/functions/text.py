@@ -51,9 +51,19 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A[{WS}]++|(?<![{WS}])[{WS}]++\z", "")
 
 
+def plain_space(c: Column) -> Column:
+    """White space beyond ASCII, and separators, as spaces: what follows can use the fast classes of the matcher."""
+    return F.regexp_replace(c, r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]", " ")
+
+
+def words(c: Column) -> Column:
+    """Words by Unicode white space, in order."""
+    return F.regexp_extract_all(plain_space(c), F.lit(r"\S+"), F.lit(0))
+
+
 def word_count(c: Column) -> Column:
-    """Words by Unicode white space; 0 for empty text, null for null."""
-    return F.regexp_count(c, F.lit(rf"[^{WS}]+"))
+    """Number of words; 0 for empty text, null for null."""
+    return F.regexp_count(plain_space(c), F.lit(r"\S+"))
 
 
 def words_estimate(c: Column) -> Column:

@@ -14,7 +14,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 def terms(c: Column) -> Column:
     """Lower-case words by white space, with repetitions."""
-    return F.regexp_extract_all(F.lower(c), F.lit(rf"[^{T.WS}]+"), F.lit(0))
+    return T.words(F.lower(c))
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "page_content") -> DataFrame:

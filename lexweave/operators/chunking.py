@@ -51,11 +51,12 @@ LENGTHS: dict[str, Callable[[str], int]] = {"words": lambda s: len(_RUN.findall(
 def pack_sentences(text: Column, target: int) -> Column:
     """Sentences packed greedily into chunks of at most ``target`` words, joined
     by a space; a sentence longer than that is a chunk by itself. No overlap."""
-    sentences = F.filter(F.split(text, SENTENCE_END, -1), lambda s: T.strip(s) != "")
+    counted = F.transform(F.split(text, SENTENCE_END, -1), lambda s: F.struct(s.alias("s"), T.word_count(s).alias("n")))
+    sentences = F.filter(counted, lambda x: x["n"] > 0)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"))
 
-    def step(acc: Column, s: Column) -> Column:
-        words = T.word_count(s)
+    def step(acc: Column, x: Column) -> Column:
+        s, words = x["s"], x["n"]
         full = acc["now"].isNotNull() & (acc["n"] + words > target)
         return F.struct(
             F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"),
@@ -77,7 +78,7 @@ def structural_units(text: Column, form: Column) -> Column:
 
 def token_windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` words that begin ``size - overlap`` words apart."""
-    words = F.regexp_extract_all(text, F.lit(rf"[^{T.WS}]+"), F.lit(0))
+    words = T.words(text)
     starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " "))
 
