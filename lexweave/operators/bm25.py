@@ -45,9 +45,9 @@ def search(queries: DataFrame, chunks: DataFrame, k: int, query_key: str = "qid"
     gain = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = weighted.join(posts, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(gain), digits).alias("score"))
     best = W.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    top = scored.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
-    # queries with fewer hits than k take the least ids that match nothing: k of the first k + hits ids suffice
+    top = settle(scored.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r"))  # at most k rows a query
+    # queries with fewer hits than k (all of them in ``top``) take the least ids that match nothing: k of the first k + hits suffice
     spare = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)
     short = queries.select(F.col(query_key).alias("qid")).join(top.groupBy("qid").agg(F.count(F.lit(1)).alias("hits")), "qid", "left").filter(F.coalesce("hits", F.lit(0)) < k)
-    padding = short.select("qid").crossJoin(F.broadcast(spare)).join(scored.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    padding = short.select("qid").crossJoin(F.broadcast(spare)).join(top.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top.unionByName(padding).withColumn("rank0", F.row_number().over(best) - 1).filter(F.col("rank0") < k).select("qid", "rank0", "chunk_id", "score")
