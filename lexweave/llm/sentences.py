@@ -420,7 +420,7 @@ def _line_ends(text: str, line: int, i: int, j: int, end: int, start: int, guard
         return True
     wrapped = layout.wraps(current, following)
     item = _ITEM.match(text, j, nxt)
-    if item and (not wrapped or bare[-1:] in ";:.!?。！？…,"):
+    if item and (not wrapped or bare[-1:] in ";:.!?。！？…," and not stack):
         return True
     if stack:
         return not (wrapped or text[n].islower())
