@@ -158,7 +158,7 @@ def prompt_render(spark, sf_dir):
 
 
 def bm25_precision_recall(spark, sf_dir):
-    """Flagship: search all chunks for every hundredth question; a hit is relevant
+    """End to end: search all chunks for every hundredth question; a hit is relevant
     if it is one of the question's contexts. Precision at rank, recall and their sum."""
     from ..operators import metrics
 

@@ -11,4 +11,4 @@ from .queries import chunks, corpus, evaluation, plans, retrieval, scalars
 _MODULES = (retrieval, scalars, corpus, chunks, evaluation, plans)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}
-FLAGSHIP = "bm25_topk"
+FLAGSHIP = "dense_topk"

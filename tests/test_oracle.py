@@ -24,5 +24,6 @@ def test_runs(spark, sf, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).columns == ["qid", "rank0", "chunk_id", "score"]
+    rows = e.entry(spark)
+    assert rows.columns == ["qid", "rank0", "chunk_id", "score"] and rows.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
