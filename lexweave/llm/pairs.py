@@ -22,19 +22,21 @@ import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 from math import log
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import settle, table
 
-#: Rows on which the language and terminal-context models are fitted (least hashes of qa_id).
-FIT_ROWS = 12_000
+#: Counters of a task are handed on at so many keys.
+FLUSH = 200_000
 
 # Placeholders that say nothing, in lower case without the marks around them.
 PLACEHOLDERS = set(
@@ -201,36 +203,73 @@ def script(s: str) -> str | None:
     return "latin" if latin else None
 
 
+#: Between the tokens of a terminal context; ``visible`` leaves none in a text.
+SEP = "\x1f"
+
+
+class Open(NamedTuple):
+    """A response that its terminal contexts must judge, most telling first."""
+
+    keys: list[str]
+    elliptical: bool
+    long: bool
+
+
+def tells(size: int, ends: int, inner: int) -> bool:
+    """Is a terminal context of ``size`` tokens frequent enough to judge by?"""
+    return ends + inner >= 4 if size > 1 else ends > 0 or inner > 1
+
+
+def runs_on(several: bool, ends: int, inner: int, elliptical: bool, long: bool) -> bool:
+    """Does a response break off, by the counts of the first terminal context that tells?"""
+    n = ends + inner
+    return several and n >= 20 and ends < 0.02 * n and long if elliptical else ends < 0.3 * n
+
+
 class Model:
     """Word frequencies by language and endings of responses."""
 
-    def __init__(self, rows: Iterable[tuple[str | None, str | None, list[str | None] | None]]):
+    def __init__(self, rows: Iterable[tuple[str | None, str | None, list[str | None] | None]] = ()):
+        rows = list(rows)
+        self.learn_words(Counter(x for row in rows for x in self.word_keys(*row)))
+        ends: Counter = Counter()
+        inner: Counter = Counter()
+        for _, reference, _ in rows:
+            for key, final in self.contexts(reference):
+                (ends if final else inner)[key] += 1
+        self.endings = {SEP.join(k): (ends[k], inner[k]) for k in ends | inner if tells(len(k), ends[k], inner[k])}
+
+    @classmethod
+    def word_keys(cls, question: str | None, reference: str | None, contexts: list[str | None] | None) -> Iterator[tuple[str, str]]:
+        """``(language, word)`` of the words in sentences whose language function words tell; language '' with every lower-case word."""
+        for text in (question, reference, *(contexts or ())):
+            for sentence in _SENTENCE.split(text or ""):
+                words = _LATIN.findall(sentence)
+                found = [w.lower() for w in words]
+                if (lang := cls._by_function_words(found)) and len(found) > 3:
+                    yield from ((lang, w) for w in found)
+                yield from (("", w) for w in words if not w[0].isupper())
+
+    def learn_words(self, counts: dict[tuple[str, str], int]) -> None:
+        """Take the counts of ``word_keys`` over all pairs."""
+        self.known: Counter = Counter()
         self.words: dict[str, Counter] = {k: Counter() for k in FUNCTION_WORDS}
         self.votes: dict[str, tuple[float, ...] | None] = {}
-        self.known: Counter = Counter()
-        self.ends: Counter = Counter()
-        self.inner: Counter = Counter()
-        rows = list(rows)
-        for question, reference, contexts in rows:
-            for text in (question, reference, *(contexts or ())):
-                for sentence in _SENTENCE.split(text or ""):
-                    found = [w.lower() for w in _LATIN.findall(sentence)]
-                    if (lang := self._by_function_words(found)) and len(found) > 3:
-                        self.words[lang].update(found)
-                    self.known.update(w for w in _LATIN.findall(sentence) if not w[0].isupper())
+        for (lang, w), n in counts.items():
+            (self.words[lang] if lang else self.known)[w] = n
         self.spelled = sorted({w for c in self.words.values() for w, n in c.items() if n >= 10})
         self.total = {k: sum(c.values()) + 1 for k, c in self.words.items()}
-        for _, reference, _ in rows:
-            tokens = self.tokens(visible(reference))
-            for e in range(1, len(tokens) + 1):
-                final = e == len(tokens) or tokens[e] in _STOPS
-                if tokens[e - 1] in _STOPS:
-                    continue
-                (self.ends if final else self.inner).update(self.keys(tokens[max(0, e - 7) : e]))
-        self.inner = Counter({k: v for k, v in self.inner.items() if v > 1 or k in self.ends})
-        self.ends = Counter({k: v for k, v in self.ends.items() if v > 1 or self.inner[k]})
         self.words = {k: Counter({w: n for w, n in c.items() if n > 1}) for k, c in self.words.items()}
 
+    def contexts(self, reference: str | None) -> Iterator[tuple[tuple[str, ...], bool]]:
+        """Terminal contexts of every token of a response, and whether a sentence or the response ends there."""
+        tokens = self.tokens(visible(reference))
+        for e in range(1, len(tokens) + 1):
+            if tokens[e - 1] not in _STOPS:
+                final = e == len(tokens) or tokens[e] in _STOPS
+                for key in self.keys(tokens[max(0, e - 7) : e]):
+                    yield key, final
+
     @staticmethod
     def keys(last: list[str]) -> list[tuple[str, ...]]:
         """Terminal contexts of the last tokens, most telling first; ``*`` stands for any last token."""
@@ -312,6 +351,16 @@ class Model:
         return bool(_NAMED.get(language) and _NAMED[language].search(question))
 
     def truncated(self, question: str, reference: str, contexts: list[str | None] | None) -> bool:
+        found = self.cut(question, reference, contexts)
+        if isinstance(found, bool):
+            return found
+        for key in found.keys:
+            if key in self.endings:
+                return runs_on(SEP in key, *self.endings[key], found.elliptical, found.long)
+        return False
+
+    def cut(self, question: str, reference: str, contexts: list[str | None] | None) -> bool | Open:
+        """Is the response cut, or which terminal contexts must tell?"""
         s = visible(reference)
         end = _END.search(s)
         if end and not (s.endswith(".") and _ABBREVIATED.search(s) and not s.endswith("..")) and not s.endswith(("...", "…")):
@@ -349,12 +398,7 @@ class Model:
         if not elliptical and len(part) > 25 and (at := shown.find(part)) >= 0:
             after = shown[at + len(part) : at + len(part) + 2]
             return not re.match(r"\s*(?:$|[.!?…。！？;\n])|[.!?]", after)
-        seen = self.tokens(s)
-        for key in self.keys(seen[-7:]):
-            yes, no = self.ends[key], self.inner[key]
-            if yes + no >= (4 if len(key) > 1 else 1):
-                return len(key) > 1 and yes + no >= 20 and yes < 0.02 * (yes + no) and short > 3 if elliptical else yes < 0.3 * (yes + no)
-        return False
+        return Open([SEP.join(k) for k in self.keys(self.tokens(s)[-7:])], elliptical, short > 3)
 
 
 _FUNCTION = {k: set(v) for k, v in FUNCTION_WORDS.items()}
@@ -368,8 +412,10 @@ _RUNS_ON = set(
 )
 
 
-def defect(model: Model, question: str | None, reference: str | None, contexts: list[str | None] | None) -> str | None:
-    """Kind of defect of a pair, or None. A pair without question can only be empty, a refusal or truncated."""
+def judged(model: Model, question: str | None, reference: str | None, contexts: list[str | None] | None) -> str | Open | None:
+    """Kind of defect of a pair, None, or the terminal contexts that must tell whether it is truncated.
+
+    A pair without question can only be empty, a refusal or truncated."""
     if is_empty(reference):
         return "empty"
     q, r = visible(question), visible(reference)
@@ -379,38 +425,96 @@ def defect(model: Model, question: str | None, reference: str | None, contexts:
         return "refusal"
     if q and model.other_language(q, r):
         return "other_language"
-    return "truncated" if model.truncated(q, r, contexts) else None
+    found = model.cut(q, r, contexts)
+    return found if isinstance(found, Open) else "truncated" if found else None
+
+
+def distinct_pairs(df: DataFrame) -> DataFrame:
+    """``(user_input, reference, reference_contexts)`` of every qa_id once: repeats must not count twice."""
+    row = F.struct("user_input", "reference", "reference_contexts")
+    return df.filter("qa_id is not null").groupBy("qa_id").agg(F.min_by(row, F.xxhash64(row)).alias("r")).select("r.*")
+
+
+def _counted(rows: DataFrame, ddl: str, table_of: Callable[[Counter], dict], keys_of: Callable[[tuple], Iterable]) -> DataFrame:
+    """Tables of partial counts: the counter of each task, handed on whenever it holds ``FLUSH`` keys."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts.update(keys_of(row))
+                if len(counts) >= FLUSH:
+                    yield pa.RecordBatch.from_pydict(table_of(counts))
+                    counts.clear()
+        if counts:
+            yield pa.RecordBatch.from_pydict(table_of(counts))
 
+    return rows.mapInArrow(run, ddl)
 
-def fit(df: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """The models of a bounded sample: the ``rows`` pairs whose ids hash lowest."""
-    sample = df.filter("qa_id is not null").orderBy(F.xxhash64("qa_id"), "qa_id").limit(rows)
-    return Model((r[0], r[1], r[2]) for r in sample.select("user_input", "reference", "reference_contexts").toLocalIterator())
 
+def word_counts(pairs: DataFrame) -> DataFrame:
+    """``(lang, word, n)`` over all pairs; see ``Model.word_keys``."""
+    parts = _counted(pairs, "lang string, word string, n bigint", lambda c: {"lang": [k for k, _ in c], "word": [w for _, w in c], "n": list(c.values())}, lambda row: Model.word_keys(*row))
+    return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
-def defects(df: DataFrame, model: Model | None = None) -> DataFrame:
+
+def fit(df: DataFrame) -> Model:
+    """The word model of all pairs. The driver holds the vocabulary, one count for each language and word."""
+    model = Model()
+    model.learn_words({(r[0], r[1]): r[2] for r in word_counts(distinct_pairs(df)).collect()})
+    return model
+
+
+def context_counts(pairs: DataFrame, packed: Broadcast) -> DataFrame:
+    """``(key, ends, inner)``: the terminal contexts of all responses that are frequent enough to judge by."""
+    held: list[Model] = []
+
+    def keys_of(row: tuple) -> Iterable:
+        if not held:
+            held.append(pickle.loads(packed.value))
+        return held[0].contexts(row[0])
+
+    def table_of(c: Counter) -> dict:
+        return {"key": [SEP.join(k) for k, _ in c], "ends": [n if final else 0 for (_, final), n in c.items()], "inner": [0 if final else n for (_, final), n in c.items()]}
+
+    parts = _counted(pairs.select("reference"), "key string, ends bigint, inner bigint", table_of, keys_of)
+    whole = parts.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("inner").alias("inner"))
+    return whole.filter(F.when(F.col("key").contains(SEP), F.expr("ends + inner >= 4")).otherwise(F.expr("ends > 0 or inner > 1")))
+
+
+def defects(df: DataFrame) -> DataFrame:
     """``(qa_id, defect)`` of every defective row: qa_id, user_input, reference, reference_contexts.
 
     Null or blank references are ``empty``; a null prompt or null contexts leave
     out what needs them. Repeated rows are judged alike and come once for each;
-    an empty table gives no row. One narrow stage, the model (bounded by
-    ``FIT_ROWS``) is broadcast.
+    an empty table gives no row. All pairs are counted: words first, which are
+    broadcast (bounded by the vocabulary), then terminal contexts, a table that
+    meets the responses it must judge in a join.
     """
     df = df.select("qa_id", "user_input", "reference", "reference_contexts")
-    packed = df.sparkSession.sparkContext.broadcast(pickle.dumps(model or fit(df)))
+    packed = df.sparkSession.sparkContext.broadcast(pickle.dumps(fit(df)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(packed.value)
         for batch in batches:
-            ids, found = [], []
+            out = []
             for k, q, r, c in zip(*batch.columns, strict=True):
-                kind = defect(model, q.as_py(), r.as_py(), c.as_py())
-                if kind:
-                    ids.append(k.as_py())
-                    found.append(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["qa_id", "defect"])
-
-    return df.mapInArrow(run, "qa_id bigint, defect string")
+                kind = judged(model, q.as_py(), r.as_py(), c.as_py())
+                if isinstance(kind, Open):
+                    out.append({"qa_id": k.as_py(), "defect": None, **kind._asdict()})
+                elif kind:
+                    out.append({"qa_id": k.as_py(), "defect": kind, "keys": None, "elliptical": None, "long": None})
+            yield pa.RecordBatch.from_pylist(out, _JUDGED)
+
+    rows = settle(df.mapInArrow(run, "qa_id bigint, defect string, keys array<string>, elliptical boolean, long boolean").withColumn("row", F.monotonically_increasing_id()))
+    asked = rows.filter("defect is null").select("row", "qa_id", "elliptical", "long", F.posexplode("keys").alias("at", "key"))
+    first = asked.join(context_counts(distinct_pairs(df), packed), "key").groupBy("row").agg(F.min(F.struct("at", "qa_id", "key", "ends", "inner", "elliptical", "long")).alias("f")).select("f.*")
+    n = F.col("ends") + F.col("inner")
+    cut = F.when(F.col("elliptical"), F.col("key").contains(SEP) & (n >= 20) & (F.col("ends") < 0.02 * n) & F.col("long")).otherwise(F.col("ends") < 0.3 * n)
+    return rows.filter("defect is not null").select("qa_id", "defect").unionByName(first.filter(cut).select("qa_id", F.lit("truncated").alias("defect")))
+
+
+_JUDGED = pa.schema([("qa_id", pa.int64()), ("defect", pa.string()), ("keys", pa.list_(pa.string())), ("elliptical", pa.bool_()), ("long", pa.bool_())])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Training-data operators: brute force, round trips, held-out accuracy and edge cases."""
 
 import itertools
+import pickle
 import random
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -11,6 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexweave.llm import bpe, neardup, packing, pairs, queries, quotas, reading, sentences, splitting
 
@@ -281,6 +283,21 @@ def test_defects(spark):
     assert pairs.defects(df.filter("false")).count() == 0
 
 
+def test_all_pairs_are_counted(spark):
+    n = 12_500  # one word only in the pair that hashes last
+    ids = spark.range(n).orderBy(F.xxhash64("id"), "id").collect()
+    rare = ids[-1].id
+    rows = [(i, "What did the court do?", "The court held that the zoning stands." if i != rare else "The court held that the zonula stands.", None) for i in range(n)]
+    df = spark.createDataFrame(rows, "qa_id bigint, user_input string, reference string, reference_contexts array<string>")
+    pairs_ = pairs.distinct_pairs(df.union(df.limit(100)))
+    words = {(r.lang, r.word): r.n for r in pairs.word_counts(pairs_).collect()}
+    assert words["", "zonula"] == words["en", "zonula"] == 1 and words["", "stands"] == n
+    whole = pairs.Model(r[1:] for r in rows)
+    packed = spark.sparkContext.broadcast(pickle.dumps(pairs.fit(df)))
+    assert {r.key: (r.ends, r.inner) for r in pairs.context_counts(pairs_, packed).collect()} == whole.endings
+    assert whole.endings["stands"] == (n, 0)
+
+
 def test_novelty_of_copies():
     q = "Within how many days must the society delete every copy of the map under No. 948/1986?"
     assert pairs.novelty(q, q) < 0.1 < 0.8 < pairs.novelty(q, "Das Gericht verwarf die Klage von Voss, weil niemand beteiligt war.")
