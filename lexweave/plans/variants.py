@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bm25, dense, fusion
+from ..operators.chunking import ChunkConfig
 from ..operators.selection import resolve
 
 # The declared variants. Empty fields come from the winners of earlier stages.
@@ -67,6 +68,16 @@ def resolved(variant: str, embedding: str, chunking: dict, retrieval: dict) -> d
     return resolve(VARIANTS[variant], embedding, chunking, retrieval)
 
 
+def chunk_config(chunking: dict) -> ChunkConfig:
+    """The chunker of a resolved configuration."""
+    if chunking.get("breakpoint_type", "percentile") != "percentile":
+        raise NotImplementedError(f"breakpoints {chunking['breakpoint_type']!r}")
+    known = {f.name for f in fields(ChunkConfig)}
+    if other := set(chunking) - known - {"breakpoint_type"}:
+        raise NotImplementedError(f"chunking parameters {sorted(other)}")
+    return ChunkConfig(**{k: v for k, v in chunking.items() if k in known})
+
+
 @dataclass
 class Corpus:
     """What searches run over: chunks ``(chunk_id, page_content)``, their vectors, and the

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexweave.operators import bm25, chunking, corpus, dense, fusion, graph, metrics, selection
-from lexweave.operators.embedding import embed, hashed, provider, with_retries
+from lexweave.operators.embedding import MODELS, embed, hashed, provider, with_retries
 from lexweave.plans import variants
+from lexweave.queries import plans
 from lexweave.sources import io
 
 C = chunking.ChunkConfig
@@ -119,6 +120,23 @@ def test_variants(spark):
         fusion.variants(a, "other")
 
 
+def test_variants_build_their_index(spark, sf):
+    corpus_ = spark.read.parquet(f"{sf}/corpus_clean.parquet")
+    ids = {r[0] for r in corpus_.filter("text rlike '[a-zA-Z]'").select("doc_id").distinct().collect()}
+    sizes = {}
+    for v in ("exp0", "exp1__qwen3_8b", "exp2__structural_pc", "expSOTA"):
+        c = plans._corpus(spark, sf, variants.resolved(v, *plans.WINNERS), variants.builds_index(v))
+        got = [r.chunk_id for r in c.chunks.collect()]
+        assert ids <= {i >> 20 for i in got} and len(got) == len(set(got)) == c.vectors.count()
+        sizes[v] = len(got)
+        one = c.embed(spark.createDataFrame([(1, "fees of a map")], "qid bigint, text string"), "qid", "text").first().embedding
+        prefix = MODELS[variants.resolved(v, *plans.WINNERS)["embedding"]["model"]][2]
+        assert np.allclose(one, hashed([prefix + "fees of a map"])[0])
+    assert len({sizes["exp0"], sizes["exp2__structural_pc"], sizes["expSOTA"]}) == 3
+    with pytest.raises(NotImplementedError):
+        variants.chunk_config({"strategy": "semantic", "breakpoint_type": "gradient"})
+
+
 def test_metrics(spark):
     v = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (1, 2, 1), (2, 0, 0), (2, 1, 0)], "qid bigint, rank0 int, v int")
     assert {r.qid: r.context_precision for r in metrics.context_precision(v).collect()} == {1: 0.833333, 2: 0.0}
