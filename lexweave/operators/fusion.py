@@ -17,6 +17,8 @@ from ..functions import text as T
 from .bm25 import terms
 
 RRF_C = 60
+# Metadata that a self-query restricts.
+SPEC_FILTERS = ("family", "form")
 
 
 def rrf(lists: DataFrame, k: int, content: str = "content", c: int = RRF_C, digits: int = 9) -> DataFrame:
@@ -86,10 +88,12 @@ def variants(answers: DataFrame, kind: str, n: int = 4) -> DataFrame:
     stepback: question and answer; multiquery, rag_fusion: question and the
     answer's first ``n`` lines; decomposition: the lines alone, the question
     where there are none; selfquery: the query of the answer's JSON object, the
-    question where that is missing or malformed.
+    question where that is missing or malformed, with the object's ``family``
+    and ``form`` as further columns, null where they restrict nothing.
     """
     question, answer = F.col("question"), F.coalesce("answer", F.lit(""))
     lines = T.list_lines(answer, n)
+    spec = T.json_spec(answer, "query string, family string, form string")
     texts = {
         "rewrite": F.array(T.strip(answer)),
         "hyde": F.array(T.strip(answer)),
@@ -97,11 +101,12 @@ def variants(answers: DataFrame, kind: str, n: int = 4) -> DataFrame:
         "multiquery": F.concat(F.array(question), lines),
         "rag_fusion": F.concat(F.array(question), lines),
         "decomposition": F.when(F.size(lines) > 0, lines).otherwise(F.array(question)),
-        "selfquery": F.array(F.coalesce(F.nullif(T.json_spec(answer, "query string, family string, form string")["query"], F.lit("")), question)),
+        "selfquery": F.array(F.coalesce(F.nullif(spec["query"], F.lit("")), question)),
     }
     if kind not in texts:
         raise NotImplementedError(f"query transformation {kind!r}")
-    return answers.select("qid", F.posexplode(texts[kind]).alias("list_id", "text"))
+    restricted = [F.nullif(spec[f], F.lit("")).alias(f) for f in SPEC_FILTERS] if kind == "selfquery" else []
+    return answers.select("qid", F.posexplode(texts[kind]).alias("list_id", "text"), *restricted)
 
 
 FUSION = {"stepback": rrf, "rag_fusion": rrf, "decomposition": rrf, "multiquery": interleave}

@@ -80,7 +80,7 @@ def chunk_config(chunking: dict) -> ChunkConfig:
 
 @dataclass
 class Corpus:
-    """What searches run over: chunks ``(chunk_id, page_content)``, their vectors, and the
+    """What searches run over: chunks ``(chunk_id, page_content)``, for self-queries with ``family`` and ``form``, their vectors, and the
     stand-ins for models: ``embed(df, key, text)``, ``answers(queries, kind)``."""
 
     chunks: DataFrame
@@ -90,6 +90,15 @@ class Corpus:
     score: object = fusion.overlap_score
 
 
+def filtered_search(c: Corpus, queries: DataFrame, retrieval: dict, k: int) -> DataFrame:
+    """``(qid, rank0, chunk_id, score)`` of self-queries ``(qid, text, family, form)``: always MMR,
+    among the chunks that have the family and form asked for."""
+    filters = list(fusion.SPEC_FILTERS)
+    q = c.embed(queries, "qid", "text").join(queries.select("qid", *filters), "qid")
+    index = c.vectors.join(c.chunks.select("chunk_id", *filters), "chunk_id")
+    return dense.mmr(q, index, k, retrieval.get("fetch_k", 30), filters=filters)
+
+
 def base_search(c: Corpus, queries: DataFrame, retrieval: dict, k: int, pool: int | None = None) -> DataFrame:
     """``(qid, rank0, chunk_id, score)`` of queries ``(qid, text)`` by a retrieval strategy."""
     kind = retrieval["strategy"]
@@ -119,8 +128,8 @@ def plan(c: Corpus, queries: DataFrame, cfg: dict) -> DataFrame:
     if change:
         kind, n = change["type"], change.get("n_queries", 4)
         v = fusion.variants(c.answers(queries, kind), kind, n).withColumn("v", F.xxhash64("qid", "list_id"))
-        strategy = {**retrieval, "strategy": "mmr"} if kind == "selfquery" else retrieval
-        lists = base_search(c, v.select(F.col("v").alias("qid"), "text"), strategy, k).withColumnRenamed("qid", "v").join(v.select("v", "qid", "list_id"), "v")
+        search = filtered_search if kind == "selfquery" else base_search
+        lists = search(c, v.drop("qid", "list_id").withColumnRenamed("v", "qid"), retrieval, k).withColumnRenamed("qid", "v").join(v.select("v", "qid", "list_id"), "v")
         hits = fusion.FUSION[kind](lists, k, "chunk_id") if kind in fusion.FUSION else lists
         hits = hits.select("qid", "rank0", "chunk_id")
     else:

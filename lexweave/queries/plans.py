@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import chunking as K
 from ..operators import corpus as C
 from ..operators.embedding import embed
+from ..operators.fusion import SPEC_FILTERS
 from ..plans import variants as V
 from ..session import settle, table
-from .retrieval import _chunks, _questions
+from .retrieval import _questions
 
 WINNERS = ("BAAI/bge-m3", {"strategy": "fixed_size", "chunk_size": 256, "chunk_overlap": 25}, {"strategy": "mmr", "top_k": 10, "fetch_k": 30})
 
@@ -21,15 +22,29 @@ def _chunked(spark, sf_dir, chunking):
     return pieces.select((F.coalesce("doc_id", F.lit(-1)) * (1 << 20) + F.col("chunk_index")).alias("chunk_id"), "page_content")
 
 
+def _stored(spark, sf_dir):
+    """``(chunk_id, page_content, family, form)`` of the chunks table."""
+    c = table(spark, sf_dir, "chunks", "chunk_id", "page_content", "metadata").dropDuplicates(["chunk_id"])
+    return c.select("chunk_id", "page_content", *(F.col(f"metadata.{f}").alias(f) for f in SPEC_FILTERS))
+
+
+def _spec(qid):
+    """Stand-in for a model's answer to a self-query: family, family and form, no restriction, no object at all."""
+    turn = F.floor(qid / 100) % 4
+    family = F.when(turn == 0, "LEGISLATIVE").when(turn == 1, "JUDICIAL")
+    spec = F.to_json(F.struct(F.col("text").alias("query"), family.alias("family"), F.when(turn == 1, "Judgment").alias("form")))
+    return F.when(turn == 3, F.lit("no object")).otherwise(F.concat(F.lit("Sure: "), spec))
+
+
 def _corpus(spark, sf_dir, cfg, builds):
     """A variant that builds its index chunks all documents; the others search the chunks that are there."""
     model, batch = cfg["embedding"]["model"], cfg["embedding"].get("batch_size")
-    chunks = settle(_chunked(spark, sf_dir, cfg["chunking"]) if builds else _chunks(spark, sf_dir))
+    chunks = settle(_chunked(spark, sf_dir, cfg["chunking"]) if builds else _stored(spark, sf_dir))
     vectors = settle(embed(chunks, "chunk_id", "page_content", model, batch=batch))
 
     def answers(queries, kind):
         text = F.col("text")
-        made = F.lit("[2, 0, 1]") if kind == "rank" else F.concat(F.lit("1. about "), text, F.lit("\n2. "), text, F.lit(" licence"))
+        made = F.lit("[2, 0, 1]") if kind == "rank" else _spec(F.col("qid")) if kind == "selfquery" else F.concat(F.lit("1. about "), text, F.lit("\n2. "), text, F.lit(" licence"))
         return queries.select("qid", text.alias("question"), made.alias("answer"))
 
     return V.Corpus(chunks, vectors, lambda df, key, text: embed(df, key, text, model, query=True, batch=batch), answers)
@@ -49,7 +64,7 @@ def variant_registry(spark, sf_dir):
     return spark.createDataFrame(rows, "variant string, builds_index boolean, inherits string, declared int")
 
 
-QUERIES = {"variant_registry": variant_registry} | {f"run_{v.lower()}": _experiment(v) for v in ("exp0", "exp1__qwen3_8b", "exp2__structural_pc", "exp3__hybrid_k10", "exp4c__rag_fusion", "exp5b__rerank_ce_k10", "expSOTA")}
+QUERIES = {"variant_registry": variant_registry} | {f"run_{v.lower()}": _experiment(v) for v in ("exp0", "exp1__qwen3_8b", "exp2__structural_pc", "exp3__hybrid_k10", "exp4c__rag_fusion", "exp4g__selfquery", "exp5b__rerank_ce_k10", "expSOTA")}
 
 _ROWS = ", ".join(f"('{v}', {str('chunking' in c).lower()}, '{','.join(k for k in ('embedding', 'chunking', 'retrieval') if k not in c)}', {i})" for i, (v, c) in enumerate(V.VARIANTS.items()))
 SQL = {"variant_registry": f"SELECT * FROM (VALUES {_ROWS}) t(variant, builds_index, inherits, declared)"}

@@ -137,6 +137,15 @@ def test_variants_build_their_index(spark, sf):
         variants.chunk_config({"strategy": "semantic", "breakpoint_type": "gradient"})
 
 
+def test_selfquery_restricts_hits(spark, sf):
+    c = plans._corpus(spark, sf, variants.resolved("exp4g__selfquery", *plans.WINNERS), False)
+    queries = spark.createDataFrame([(q, "fees of a map") for q in (0, 100, 200, 300)], "qid bigint, text string")
+    hits = variants.plan(c, queries, variants.resolved("exp4g__selfquery", *plans.WINNERS)).join(c.chunks, "chunk_id").collect()
+    of = {q: [(r.family, r.form) for r in hits if r.qid == q] for q in (0, 100, 200, 300)}
+    assert {f for f, _ in of[0]} == {"LEGISLATIVE"} and set(of[100]) == {("JUDICIAL", "Judgment")}
+    assert len(of[200]) == 10 and sorted(map(str, of[200])) == sorted(map(str, of[300])) and {f for f, _ in of[200]} != {"LEGISLATIVE"}
+
+
 def test_metrics(spark):
     v = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (1, 2, 1), (2, 0, 0), (2, 1, 0)], "qid bigint, rank0 int, v int")
     assert {r.qid: r.context_precision for r in metrics.context_precision(v).collect()} == {1: 0.833333, 2: 0.0}
