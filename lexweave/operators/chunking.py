@@ -203,7 +203,7 @@ def _pieces(text: str, units: list[str] | None, cfg: ChunkConfig) -> Iterator[di
         for s in heading_sections(text, 6 if cfg.strategy == "markdown" else 1):
             crumb = s["breadcrumb"] if cfg.strategy == "markdown" else s["title"]
             for c in recursive_split(s["text"], cfg) if length(s["text"]) > cfg.chunk_size else [s["text"]]:
-                yield {"page_content": c, "parent_text": s["text"][:16000], "section_title": s["title"], "section_level": s["level"], "breadcrumb": crumb}
+                yield {"page_content": c, "parent_text": s["text"], "section_title": s["title"], "section_level": s["level"], "breadcrumb": crumb}
     else:
         raise NotImplementedError(f"chunking strategy {cfg.strategy!r}")
 

@@ -146,6 +146,13 @@ def test_selfquery_restricts_hits(spark, sf):
     assert len(of[200]) == 10 and sorted(map(str, of[200])) == sorted(map(str, of[300])) and {f for f, _ in of[200]} != {"LEGISLATIVE"}
 
 
+@pytest.mark.parametrize("strategy", ["markdown", "section"])
+def test_parents_are_whole_sections(spark, strategy):
+    text = "# Long\n" + "word goes on. " * 2000 + "the end"
+    got = chunking.chunk(spark.createDataFrame([(1, "", text)], "doc_id bigint, form string, text string"), C(strategy, 450, 50)).orderBy("chunk_index").collect()
+    assert len(got) > 1 and {r.parent_text for r in got} == {text} and got[-1].page_content.endswith("the end")
+
+
 def test_metrics(spark):
     v = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (1, 2, 1), (2, 0, 0), (2, 1, 0)], "qid bigint, rank0 int, v int")
     assert {r.qid: r.context_precision for r in metrics.context_precision(v).collect()} == {1: 0.833333, 2: 0.0}
