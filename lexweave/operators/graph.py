@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .chunking import structural_units
 
 
 def entities(c: Column) -> Column:
@@ -23,6 +28,67 @@ def splits_by_headline(nodes_: DataFrame, tokens: int = 500, share: float = 0.25
     return nodes_.agg(F.round(F.avg((F.col("words") > tokens).cast("int")), 6).alias("long_share"), (F.avg((F.col("words") > tokens).cast("int")) >= share).alias("by_headline"))
 
 
+_HEADLINE = re.compile(r"^(?=[A-Z][A-Za-z ]{3,40}$)", re.M)
+
+
+def sized(pieces: list[str], least: int = 500, most: int = 1000) -> list[str]:
+    """Pieces between headlines as chunks: those of more than ``most`` words are
+    divided, those of fewer than ``least`` joined; every word is in one chunk."""
+    out, now = [], []
+    for piece in pieces:
+        words = piece.split()
+        if len(words) > most and now:
+            out.append(now)
+            now = []
+        while len(words) > most:
+            out.append(words[:most])
+            words = words[most:]
+        if len(words) >= least:
+            out += [now, words] if now else [words]
+            now = []
+        else:
+            now = now + words
+            if len(now) >= least:
+                out.append(now)
+                now = []
+    return [" ".join(w) for w in (*out, now) if w]
+
+
+def headline_chunks(docs: DataFrame, tokens: int = 500) -> DataFrame:
+    """``(doc_id, chunk_index, page_content)`` of the documents of more than ``tokens``
+    words ``(doc_id, form, text)``. Short lines stand in for a model's headlines;
+    where a text has none, its structural units do."""
+    text = F.coalesce("text", F.lit(""))
+    long = docs.filter(T.word_count(text) > tokens).select("doc_id", text.alias("text"), structural_units(text, F.coalesce("form", F.lit(""))).alias("units"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                at = [0, *(m.start() for m in _HEADLINE.finditer(r["text"])), len(r["text"])]
+                pieces = [r["text"][a:b] for a, b in zip(at, at[1:])] if len(at) > 2 else r["units"]
+                out += [{"doc_id": r["doc_id"], "chunk_index": i, "page_content": c} for i, c in enumerate(sized(pieces, tokens))]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("page_content", pa.string())]))
+
+    return long.mapInArrow(run, "doc_id bigint, chunk_index int, page_content string")
+
+
+def branch_nodes(docs: DataFrame) -> DataFrame:
+    """``(node_id, kind, doc_id, words, entities)`` of the branch that the lengths choose.
+
+    Where ``splits_by_headline`` holds, long documents are split; only chunks
+    have entities, so only chunks are linked. Otherwise documents have them.
+    """
+    whole = nodes(docs)
+    named = whole.select(F.col("node_id").cast("string").alias("node_id"), "kind", F.col("node_id").alias("doc_id"), "words", "entities")
+    if not splits_by_headline(whole).first()["by_headline"]:
+        return named
+    pieces = headline_chunks(docs)
+    content = F.col("page_content")
+    chunks = pieces.select(T.chunk_name(F.col("doc_id"), F.col("chunk_index")).alias("node_id"), F.lit("CHUNK").alias("kind"), "doc_id", T.word_count(content).alias("words"), entities(content).alias("entities"))
+    return named.withColumn("entities", F.array().cast("array<string>")).unionByName(chunks)
+
+
 def overlap_edges(nodes_: DataFrame, least: float = 0.01) -> DataFrame:
     """``(a, b, overlap)``: shared entities over those of the smaller node, a < b.
 

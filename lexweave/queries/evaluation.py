@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import fusion, graph, metrics, selection
-from ..session import table
+from ..session import settle, table
 from .corpus import DOCS, _QUOTA, _STRATA
 from .scalars import words_sql
 
@@ -178,10 +178,10 @@ def metrics_by_decision(spark, sf_dir):
     return selection.by_decision(steps, ["context_precision", "context_recall"])
 
 
-def _sampled(spark, sf_dir):
+def _sampled(spark, sf_dir, *more):
     docs = C.latest(table(spark, sf_dir, "corpus_clean", "doc_id", "ingested_at", "text").select("doc_id", "ingested_at", T.word_count(F.col("text")).alias("w")))
     ids = C.stratified_sample(docs, words="w").select("doc_id")
-    return table(spark, sf_dir, "corpus_clean", "doc_id", "title", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return table(spark, sf_dir, "corpus_clean", "doc_id", "title", "text", *more).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def kg_nodes(spark, sf_dir):
@@ -196,6 +196,19 @@ def kg_branch(spark, sf_dir):
     return graph.splits_by_headline(graph.nodes(_sampled(spark, sf_dir)))
 
 
+def _branch(spark, sf_dir):
+    return graph.branch_nodes(settle(_sampled(spark, sf_dir, "form")))
+
+
+def kg_branch_nodes(spark, sf_dir):
+    """Nodes of the branch that kg_branch tells; kg_nodes and kg_edges are those of whole documents."""
+    return _branch(spark, sf_dir).select("node_id", "kind", "doc_id", "words", F.size("entities").alias("n_entities"))
+
+
+def kg_branch_edges(spark, sf_dir):
+    return graph.overlap_edges(_branch(spark, sf_dir))
+
+
 def gold_complete(spark, sf_dir):
     g = table(spark, sf_dir, "gold_dataset", "qa_id", "user_input", "reference", "persona_name", "query_style", "query_length").dropDuplicates(["qa_id"])
     return graph.complete_samples(g).groupBy("persona_name", "query_style", "query_length").agg(F.count(F.lit(1)).alias("n"))
@@ -210,7 +223,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         metric_context_precision, metric_context_recall, metric_entity_recall, metric_faithfulness, metric_noise_sensitivity, metric_answer_relevancy, metrics_mean, prototype_summary, merge_results, summary_upsert, run_log,
-        select_best, select_best_retrieval, master_table, progression, metrics_by_decision, kg_nodes, kg_edges, kg_branch, gold_complete, mapped_styles,
+        select_best, select_best_retrieval, master_table, progression, metrics_by_decision, kg_nodes, kg_edges, kg_branch, kg_branch_nodes, kg_branch_edges, gold_complete, mapped_styles,
     )
 } | {f"select_best_{n}": _best_of(s) for n, s in (("embedding", "embedding"), ("chunking", "chunking"), ("rerank", "rerank"), ("query_transform", "expansion"))}
 

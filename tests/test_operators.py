@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexweave.operators import bm25, chunking, corpus, dense, fusion, graph, metrics, selection
@@ -153,6 +155,26 @@ def test_parents_are_whole_sections(spark, strategy):
     assert len(got) > 1 and {r.parent_text for r in got} == {text} and got[-1].page_content.endswith("the end")
 
 
+def test_graph_of_the_long_branch(spark):
+    parts = ["Heading number\n" + f"{name} goes on. " * 200 for name in ("Brussels", "Brussels", "Lisbon")]
+    docs = spark.createDataFrame([(1, "", "\n".join(parts), ""), (2, "", "Brussels " * 30, ""), (3, "", None, "")], "doc_id bigint, form string, text string, title string")
+    got = graph.branch_nodes(docs)
+    rows = {r.node_id: r for r in got.collect()}
+    assert sorted(rows) == ["1", "1_chunk_000", "1_chunk_001", "1_chunk_002", "2", "3"] and rows["1_chunk_000"].kind == "CHUNK" and not rows["1"].entities
+    assert [(r.a, r.b) for r in graph.overlap_edges(got).orderBy("a", "b").collect()] == [("1_chunk_000", "1_chunk_001"), ("1_chunk_000", "1_chunk_002"), ("1_chunk_001", "1_chunk_002")]
+    short = graph.branch_nodes(docs.filter("doc_id = 2").union(docs.filter("doc_id = 2").withColumn("doc_id", F.lit(4).cast("bigint"))))
+    assert {r.kind for r in short.collect()} == {"DOCUMENT"} and graph.overlap_edges(short).count() == 1
+    assert graph.branch_nodes(docs.filter("false")).count() == 0
+
+
+@given(st.lists(st.integers(0, 2600), max_size=8))
+def test_headline_chunks_keep_all_words(sizes):
+    words = [f"w{i}" for i in range(sum(sizes))]
+    ends = list(itertools.accumulate(sizes))
+    got = graph.sized([" ".join(words[e - n : e]) for e, n in zip(ends, sizes)])
+    assert " ".join(got).split() == words and all(len(c.split()) <= 1000 for c in got)
+
+
 def test_metrics(spark):
     v = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (1, 2, 1), (2, 0, 0), (2, 1, 0)], "qid bigint, rank0 int, v int")
     assert {r.qid: r.context_precision for r in metrics.context_precision(v).collect()} == {1: 0.833333, 2: 0.0}
