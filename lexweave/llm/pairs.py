@@ -365,8 +365,7 @@ class Model:
         end = _END.search(s)
         if end and not (s.endswith(".") and _ABBREVIATED.search(s) and not s.endswith("..")) and not s.endswith(("...", "…")):
             return False
-        if script(s) == "th":
-            return False
+        unmarked = script(s) == "th"  # sentences end at spaces
         s = re.sub(r"[\s.…]*(?:\.\.|…)[\s.…]*$", "", s)
         if not end and _HANGING.search(s):
             return True
@@ -397,7 +396,9 @@ class Model:
         elliptical = part[:1].islower() or part[:1].isdigit() or short <= 3 and part == s or "; " in s and part[:1] != part[:1].lower() and short <= 3
         if not elliptical and len(part) > 25 and (at := shown.find(part)) >= 0:
             after = shown[at + len(part) : at + len(part) + 2]
-            return not re.match(r"\s*(?:$|[.!?…。！？;\n])|[.!?]", after)
+            return not re.match(r"\s*(?:$|[.!?…。！？;\n])|[.!?]" + (r"|\s" if unmarked else ""), after)
+        if unmarked:
+            return False  # terminal contexts are told by sentence marks
         return Open([SEP.join(k) for k in self.keys(self.tokens(s)[-7:])], elliptical, short > 3)
 
 

@@ -298,6 +298,14 @@ def test_all_pairs_are_counted(spark):
     assert whole.endings["stands"] == (n, 0)
 
 
+def test_cut_thai_answers():
+    shown = "ศาลตัดสินว่าสัญญาเช่าฉบับนี้สิ้นสุดลงแล้ว ผู้เช่าต้องคืนสำเนาทั้งหมดภายในสามสิบวัน"
+    whole, cut = shown.split(" ")[0], shown[: shown.index("สิ้นสุด") + 4]
+    m, q = pairs.Model(), "ศาลตัดสินว่าอย่างไร"
+    assert m.truncated(q, cut, [shown]) and m.truncated(q, whole + " (ตามมาตรา", None) and m.truncated(q, whole + ",", None)
+    assert not m.truncated(q, whole, [shown]) and not m.truncated(q, shown, [shown]) and not m.truncated(q, whole, None)
+
+
 def test_novelty_of_copies():
     q = "Within how many days must the society delete every copy of the map under No. 948/1986?"
     assert pairs.novelty(q, q) < 0.1 < 0.8 < pairs.novelty(q, "Das Gericht verwarf die Klage von Voss, weil niemand beteiligt war.")
