@@ -9,8 +9,11 @@ Arrow-batched narrow stage.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .embedding import hashed
+from .embedding import provider
 
 # Forms whose units are numbered paragraphs, and those whose units are articles.
 PARAGRAPH_FORMS = ["Judgment", "Opinion of the Advocate General", "Order"]
@@ -30,19 +33,38 @@ SENTENCE_END = rf"(?<=[.!?])[{T.WS}]+"
 MIN_WORDS = 20
 
 
+@cache
+def tokenizer(path: str):
+    """A public tokenizer's file, read once by each worker."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return t
+
+
 @dataclass(frozen=True)
 class ChunkConfig:
-    """Parameters of a chunking strategy; the lengths are counted by ``unit``."""
+    """Parameters of a chunking strategy.
+
+    Lengths are counted by ``unit``: words, chars, or tokens of the tokenizer
+    file ``tokens`` names. ``model``: whose vectors tell semantic breaks.
+    """
 
     strategy: str = "fixed_size"
     chunk_size: int = 256
     chunk_overlap: int = 25
     unit: str = "words"
+    tokens: str | None = None
+    model: str = "hashed"
     parent_child: bool = False
     parent_size: int = 1024
     breakpoint_percentile: float = 95.0
     separators: tuple[str, ...] = field(default=tuple(SEPARATORS))
 
+    def count(self, s: str) -> int:
+        return len(tokenizer(self.tokens).encode(s, add_special_tokens=False).ids) if self.tokens else LENGTHS[self.unit](s)
+
 
 _RUN = re.compile(r"\S+")
 LENGTHS: dict[str, Callable[[str], int]] = {"words": lambda s: len(_RUN.findall(s)), "chars": len}
@@ -83,10 +105,32 @@ def token_windows(text: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " "))
 
 
+def bpe_windows(docs: DataFrame, path: str, size: int, overlap: int) -> DataFrame:
+    """``(doc_id, window, start, end, n_tokens, page_content)``: windows of ``size``
+    tokens of the tokenizer file ``path`` that begin ``size - overlap`` tokens apart.
+
+    Offsets are characters; a character whose bytes two windows divide is in both.
+    Null and empty texts have no window. One narrow stage over whole texts.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                spans = tokenizer(path).encode(t or "", add_special_tokens=False).offsets
+                for w, i in enumerate(range(0, len(spans), size - overlap)):
+                    inside = spans[i : i + size]
+                    a, b = inside[0][0], inside[-1][1]
+                    out.append({"doc_id": k, "window": w, "start": a, "end": b, "n_tokens": len(inside), "page_content": t[a:b]})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("window", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int32()), ("page_content", pa.string())]))
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, window int, start bigint, end bigint, n_tokens int, page_content string")
+
+
 def recursive_split(text: str, cfg: ChunkConfig) -> list[str]:
     """Splits at the widest separator that occurs, opens what is too long with
     the next ones, and merges neighbours up to the size with the asked overlap."""
-    length = LENGTHS[cfg.unit]
+    length = cfg.count
 
     def merged(parts: list[tuple[str, int]]) -> Iterator[str]:
         window: list[tuple[str, int]] = []
@@ -128,22 +172,31 @@ def recursive_split(text: str, cfg: ChunkConfig) -> list[str]:
     return [c for c in (x.strip() for x in opened(text, cfg.separators)) if c]
 
 
+def windows(sizes: list[int], limit: int) -> list[tuple[int, int]]:
+    """The units ``[low, high]`` around each unit that make its parent.
+
+    A parent spreads to both sides alike, the right one first, as far as the sum
+    of the sizes stays within ``limit``; where one side can't go on, the other
+    does alone. Over prefix sums both reaches are found by bisection.
+    """
+    upto = [0, *accumulate(sizes)]
+    last = len(sizes) - 1
+    out = []
+    for i in range(len(sizes)):
+        both = range(1, min(i, last - i) + 1)
+        t = bisect_right(both, limit, key=lambda d, i=i: upto[i + d + 1] - upto[i - d])
+        low, high = i - t, i + t
+        if high < last and upto[high + 2] - upto[low] <= limit:
+            high = bisect_right(upto, upto[low] + limit) - 2
+        elif low:
+            low = min(low, bisect_left(upto, upto[high + 1] - limit))
+        out.append((low, high))
+    return out
+
+
 def parent_window(units: list[str], sizes: list[int], i: int, limit: int) -> str:
-    """Units around ``i``: in turns one to the right, one to the left, while they fit."""
-    low = high = i
-    total = sizes[i]
-    while total < limit:
-        grown = False
-        if high + 1 < len(units) and total + sizes[high + 1] <= limit:
-            high += 1
-            total += sizes[high]
-            grown = True
-        if low and total + sizes[low - 1] <= limit:
-            low -= 1
-            total += sizes[low]
-            grown = True
-        if not grown:
-            break
+    """The parent of unit ``i``."""
+    low, high = windows(sizes, limit)[i]
     return "\n\n".join(units[low : high + 1])
 
 
@@ -155,7 +208,7 @@ def semantic_split(text: str, cfg: ChunkConfig) -> list[str]:
     sentences = [s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
     if len(sentences) < 2:
         return sentences
-    v = hashed([" ".join(sentences[max(0, i - 1) : i + 2]) for i in range(len(sentences))])
+    v = provider(cfg.model)()([" ".join(sentences[max(0, i - 1) : i + 2]) for i in range(len(sentences))])
     far = 1 - (v[:-1] * v[1:]).sum(1)
     cut = np.flatnonzero(far > np.percentile(far, cfg.breakpoint_percentile)) + 1
     edges = [0, *cut.tolist(), len(sentences)]
@@ -184,28 +237,28 @@ def heading_sections(text: str, deepest: int) -> list[dict]:
     return out
 
 
-def _pieces(text: str, units: list[str] | None, cfg: ChunkConfig) -> Iterator[dict]:
-    length = LENGTHS[cfg.unit]
+def _divisions(text: str, units: list[str] | None, cfg: ChunkConfig) -> Iterator[tuple[str, dict]]:
+    """The natural parts of a text by strategy, each with the columns that its chunks share."""
     if cfg.strategy in ("fixed_size", "recursive"):
-        for c in recursive_split(text, cfg):
-            yield {"page_content": c}
+        yield text, {}
     elif cfg.strategy == "semantic":
-        for s in semantic_split(text, cfg):
-            for c in recursive_split(s, cfg) if length(s) > cfg.chunk_size else [s]:
-                yield {"page_content": c}
+        yield from ((s, {}) for s in semantic_split(text, cfg))
     elif cfg.strategy == "structural":
-        sizes = [length(u) for u in units or ()]
-        for i, u in enumerate(units or ()):
-            parent = parent_window(units, sizes, i, cfg.parent_size) if cfg.parent_child else None
-            for c in recursive_split(u, cfg) if sizes[i] > cfg.chunk_size else [u]:
-                yield {"page_content": c, "parent_text": parent}
-    elif cfg.strategy in ("markdown", "section"):
-        for s in heading_sections(text, 6 if cfg.strategy == "markdown" else 1):
-            crumb = s["breadcrumb"] if cfg.strategy == "markdown" else s["title"]
-            for c in recursive_split(s["text"], cfg) if length(s["text"]) > cfg.chunk_size else [s["text"]]:
-                yield {"page_content": c, "parent_text": s["text"], "section_title": s["title"], "section_level": s["level"], "breadcrumb": crumb}
+        units = units or []
+        around = windows([cfg.count(u) for u in units], cfg.parent_size) if cfg.parent_child else [None] * len(units)
+        yield from ((u, {"parent_text": w and "\n\n".join(units[w[0] : w[1] + 1])}) for u, w in zip(units, around, strict=True))
     else:
-        raise NotImplementedError(f"chunking strategy {cfg.strategy!r}")
+        crumb = "breadcrumb" if cfg.strategy == "markdown" else "title"
+        for s in heading_sections(text, 6 if cfg.strategy == "markdown" else 1):
+            yield s["text"], {"parent_text": s["text"], "section_title": s["title"], "section_level": s["level"], "breadcrumb": s[crumb]}
+
+
+def _pieces(text: str, units: list[str] | None, cfg: ChunkConfig) -> Iterator[dict]:
+    """Chunks in order: a part that fits is one as it is, others are opened; fixed sizes always are."""
+    always = cfg.strategy in ("fixed_size", "recursive")
+    for part, shared in _divisions(text, units, cfg):
+        for c in recursive_split(part, cfg) if always or cfg.count(part) > cfg.chunk_size else [part]:
+            yield {"page_content": c, **shared}
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("page_content", pa.string()), ("parent_text", pa.string()), ("section_title", pa.string()), ("section_level", pa.int32()), ("breadcrumb", pa.string())])

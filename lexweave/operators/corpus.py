@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import settle
 
 # Defaults of the corpus selection.
 KEYWORDS = ["copyright", "related right", "neighbouring right", "computer program", "software"]
@@ -80,18 +81,23 @@ def clean_documents(raw: DataFrame) -> DataFrame:
 def number_rows(df: DataFrame, order: str, name: str = "doc_id", ranges: int | None = None) -> DataFrame:
     """Numbers rows from 0 without gaps in the order of ``order`` (distinct values).
 
-    Range-partitioned, counted by partition, then numbered within each: no
-    single task sees all rows. The driver holds one count for each partition.
+    Rows are range-partitioned and sorted within their partition, once: range
+    bounds are sampled, so a second execution could draw others. The written
+    table keeps each row's partition and place in it; counts come from that
+    table too. One shuffle; no task sees all rows; the driver holds one count
+    for each partition. Null order comes first; an empty table gives no row.
     """
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id())
-    counts = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}
-    base, start = [], 0
-    for p in range(n):
-        base.append(start)
-        start += counts.get(p, 0)
-    offset = F.element_at(F.array(*map(F.lit, base)), F.col("_part") + 1)
-    return parts.withColumn(name, offset.cast("bigint") + F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1).drop("_part", order)
+    spark = df.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
+    rows = settle(placed.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)}))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    before, start = [], 0
+    for r in counts:
+        before.append((r["_part"], start))
+        start += r["n"]
+    offsets = spark.createDataFrame(before, "_part bigint, _before bigint")  # one row for each partition
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before", order)
 
 
 def select_documents(df: DataFrame, keywords: list[str] = KEYWORDS, forms: list[str] = FORMS, min_words: int = MIN_WORDS, words: str | None = None) -> DataFrame:
@@ -115,18 +121,23 @@ def stratum(words: Column, strata: list[tuple] = STRATA) -> Column:
     return out
 
 
-def take_by_key(df: DataFrame, groups: list[str], quota: Column, key: str, seed: int = 42) -> DataFrame:
-    """Exactly the quota of each group (or all of it), least ``md5(seed, key)`` first: the same rows at any partitioning."""
+def take_by_key(df: DataFrame, groups: list[str], quota: Column, key: str, most: int, seed: int = 42) -> DataFrame:
+    """Exactly the quota of each group (or all of it), least ``md5(seed, key)`` first: the same rows at any partitioning.
+
+    ``most`` is the largest quota. As a literal bound it makes every task keep
+    no more than so many rows of a group before the shuffle, so that a group of
+    any size arrives as ``tasks x most`` rows.
+    """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     w = W.partitionBy(*groups).orderBy(order, key)
-    return df.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= quota)
+    return df.withColumn("pick", F.row_number().over(w)).filter((F.col("pick") <= most) & (F.col("pick") <= quota))
 
 
 def stratified_sample(df: DataFrame, strata: list[tuple] = STRATA, seed: int = 42, words: str | None = None) -> DataFrame:
     """``n`` documents of each word-count stratum, or all where it has fewer."""
     staged = df.withColumn("stratum", stratum(_words(words), strata)).filter("stratum is not null")
     quota = F.element_at(F.array(*[F.lit(n) for *_, n in strata]), F.col("stratum") + 1)
-    return take_by_key(staged, ["stratum"], quota, "doc_id", seed)
+    return take_by_key(staged, ["stratum"], quota, "doc_id", max(n for *_, n in strata), seed)
 
 
 def stratum_report(df: DataFrame, strata: list[tuple] = STRATA, words: str | None = None) -> DataFrame:

@@ -38,6 +38,14 @@ def _plain(cfg, min_words=0):
     return query
 
 
+#: Where public tokenizers lie.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def chunk_bpe_windows(spark, sf_dir):
+    return K.bpe_windows(_docs(spark, sf_dir), TOKENIZER, 256, 25)
+
+
 def chunk_markdown(spark, sf_dir):
     """Headings are made of the short lines of the corpus, which has no marks for them."""
     d = _docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"(?md)^([A-Z][A-Za-z ]{3,40})$", "## $1"))
@@ -65,6 +73,8 @@ QUERIES = {
     "structural_units": structural_units,
     "chunk_fixed_tokens": chunk_fixed_tokens,
     "chunk_fixed_size": _plain(K.ChunkConfig("fixed_size", 256, 25)),
+    "chunk_fixed_size_tokens": _plain(K.ChunkConfig("fixed_size", 256, 25, tokens=TOKENIZER)),
+    "chunk_bpe_windows": chunk_bpe_windows,
     "chunk_recursive_words": _plain(K.ChunkConfig("recursive", 200, 25), K.MIN_WORDS),
     "chunk_structural": _plain(K.ChunkConfig("structural", 512, 50)),
     "parent_window": _plain(K.ChunkConfig("structural", 512, 50, parent_child=True)),

@@ -68,7 +68,7 @@ def sample_per_family(spark, sf_dir):
     docs = _docs(spark, sf_dir, "family", chars=N()).select("doc_id", F.coalesce("family", F.lit("")).alias("family"), (F.coalesce("chars", F.lit(0)) > 2000).alias("long"))
     some = docs.groupBy("family").agg(F.max("long").alias("any_long"))
     pool = docs.join(some, "family").filter("long = any_long")
-    return C.take_by_key(pool, ["family"], F.lit(1), "doc_id").select("family", "doc_id")
+    return C.take_by_key(pool, ["family"], F.lit(1), "doc_id", 1).select("family", "doc_id")
 
 
 def head_rows(spark, sf_dir):

@@ -47,6 +47,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
 
 
+#: File system and path of every table that this process has settled.
+_WRITTEN: list[tuple] = []
+
+
+def release() -> None:
+    """Delete the tables that ``settle`` has written; results that still read them can't be read any more.
+
+    Runs by itself when the driver ends.
+    """
+    while _WRITTEN:
+        fs, path = _WRITTEN.pop()
+        try:
+            fs.delete(path, True)
+        except Exception:  # noqa: BLE001 - the JVM or the folder is gone already
+            return
+
+
+atexit.register(release)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: ``df`` as a table written once in the cluster's shared folder.
 
@@ -67,4 +87,6 @@ def settle(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(shared)
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _WRITTEN.append((where.getFileSystem(spark._jsc.hadoopConfiguration()), where))
     return spark.read.schema(df.schema).parquet(path)

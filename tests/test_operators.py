@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexweave.operators import bm25, chunking, corpus, dense, fusion, graph, metrics, selection
@@ -197,6 +198,24 @@ def test_selection(spark):
     assert graph.scenario_plan({"a": 0.5, "b": 0.5}, 5) == {"a": 3, "b": 2}
 
 
+@pytest.mark.parametrize("ranges", [8, 64])
+def test_numbers_have_no_gaps_at_size(spark, ranges):
+    n = 3_000_000
+    rows = spark.range(n).select((F.xxhash64("id") % (1 << 40) * 4_194_304 + F.col("id")).alias("p"))
+    got = corpus.number_rows(rows.withColumn("q", F.col("p")), "p", "n", ranges)
+    one = got.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()
+    assert tuple(one) == (n, 0, n - 1)
+    sorted_ = got.select("n", "q", F.lag("q").over(W.partitionBy(F.floor(F.col("n") / 50_000)).orderBy("n")).alias("before"))
+    assert sorted_.filter("before >= q").count() == 0
+
+
+def test_samples_take_few_rows_of_a_task(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("g"))
+    got = corpus.take_by_key(df, ["g"], F.col("g") * 2, "doc_id", 4)
+    assert sorted(r["count"] for r in got.groupBy("g").count().collect()) == [2, 4]
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_corpus(spark):
     df = spark.createDataFrame([(i, "w " * n) for i, n in enumerate([299, 300, 999, 1000, 5000, 20000])], "doc_id bigint, text string")
     got = {r.doc_id: r.s for r in df.select("doc_id", corpus.stratum(F.size(F.split(F.trim("text"), " "))).alias("s")).collect()}
@@ -253,3 +272,32 @@ def test_streaming(spark, tmp_path):
     ingest.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     rows = spark.read.parquet(f"{tmp_path}/out").collect()
     assert [(r.family, r.date) for r in rows] == [("JUDICIAL", "01/02/2003")]
+
+
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=14), st.integers(1, 40))
+def test_parent_windows_spread_while_they_fit(sizes, limit):
+    for i, (low, high) in enumerate(chunking.windows(sizes, limit)):
+        total = sum(sizes[low : high + 1])
+        assert low <= i <= high and (total <= limit or low == high)
+        # nothing more fits, and the right side is never behind the left one unless it can't go on
+        assert high == len(sizes) - 1 or total + sizes[high + 1] > limit
+        assert low == 0 or total + sizes[low - 1] > limit
+        left, right = i - low, high - i
+        if right < left:  # the right side stopped when it was next
+            assert high == len(sizes) - 1 or sum(sizes[i - right : high + 2]) > limit
+        if left < right - 1:
+            assert low == 0 or sum(sizes[low - 1 : i + left + 2]) > limit
+
+
+def test_chunks_in_tokens(spark):
+    from lexweave.queries.chunks import TOKENIZER
+
+    text = "Fees of 12,5 kroner are due. " * 60 + "終わり。\n\nThe end"
+    df = spark.createDataFrame([(1, "", text), (2, "", None), (3, "", "")], "doc_id bigint, form string, text string")
+    got = chunking.bpe_windows(df, TOKENIZER, 40, 10).orderBy("window").collect()
+    n = len(chunking.tokenizer(TOKENIZER).encode(text, add_special_tokens=False).ids)
+    assert {r.doc_id for r in got} == {1} and len(got) == -(-n // 30) and sum(min(30, n - 30 * r.window) for r in got) == n
+    assert got[0].start == 0 and got[-1].end == len(text) and all(r.page_content == text[r.start : r.end] and r.n_tokens <= 40 for r in got)
+    cfg = C("fixed_size", 40, 5, tokens=TOKENIZER)
+    parts = chunking.chunk(df, cfg).collect()
+    assert len(parts) > 3 and all(cfg.count(r.page_content) <= 42 for r in parts)
