@@ -5,9 +5,9 @@ Each pair gets at most one defect, tried in this order:
 * ``empty`` -- null, blank, or only a placeholder;
 * ``refusal`` -- by refusal dictionaries, sentence by sentence outside
   quotations: the answerer declines and nothing else is said;
-* ``copies_question`` -- the response is compressed with the prompt as a
-  zstandard dictionary; what the dictionary does not explain must hold no word
-  or number of its own;
+* ``copies_question`` -- response and prompt are compressed with each other as
+  zstandard dictionaries: what either leaves of the other tells a copy from an
+  answer, the words themselves where that leaves it open;
 * ``other_language`` -- by scripts, function-word dictionaries, and word
   frequencies by language learnt from the pairs;
 * ``truncated`` -- a response that does not end in a sentence mark is judged by
@@ -21,13 +21,15 @@ from __future__ import annotations
 import pickle
 import re
 from bisect import bisect_left
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from math import log
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -67,8 +69,8 @@ _FILLER = re.compile(
 FUNCTION_WORDS = {
     "en": "the of and to in is was that by which for with on not did what how who when does were under at from has had it be are an or as many must within".split(),
     "de": "der die das und ist nicht von wurde für auf den des dem mit ein eine im zu nach sich auch durch bei warum wie viele welchen welche hat vor am weil".split(),
-    "fr": "le la les des est une dans pour par sur du au aux qui que pas ce cette il elle été fut ont pourquoi quel quelle et en un parce mois bout".split(),
-    "es": "el los las una es por para que del con se fue su al como más pero este esta cuántos qué por qué y en un la lo sido entre meses importe canon".split(),
+    "fr": "le la les des est une dans pour par sur du au aux qui que pas ce cette il elle été fut ont pourquoi quel quelle et en un parce".split(),
+    "es": "el los las una es por para que del con se fue su al como más pero este esta cuántos qué por qué y en un la lo sido entre".split(),
     "it": "il lo gli una è per che del della con non sono nel alla dei delle".split(),
     "pt": "o os uma é por para que do da com não foi seu ao dos das".split(),
     "nl": "de het een van is niet voor op met dat zijn aan door wordt".split(),
@@ -93,6 +95,7 @@ LANGUAGE_NAMES = {
 _ASKS = re.compile(r"\b(?:translat\w*|wording|version|text|in|into|to|auf|ins|en|au|al|traduc\w*|traduis\w*|übersetz\w*|rédig\w*|respond\w*|answer\w*|reply)\b|[に用译訳]", re.I)
 _NAMED = {k: re.compile(rf"(?<!\w)(?:{v})(?!\w)" if v[0].isascii() else v, re.I) for k, v in LANGUAGE_NAMES.items()}
 _SCRIPTS = (("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]")), ("th", re.compile("[฀-๿]")), ("ar", re.compile("[؀-ۿ]")), ("hi", re.compile("[ऀ-ॿ]")), ("el", re.compile("[Ͱ-Ͽἀ-῿]")), ("ru", re.compile("[Ѐ-ӿ]")), ("ko", re.compile("[가-힣]")), ("he", re.compile("[֐-׿]")))
+_FOREIGN = re.compile("|".join(r.pattern for _, r in _SCRIPTS))
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]+(?:['’][A-Za-zÀ-ɏ]+)*")
 _INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿\x00-\x08\x0e-\x1f]")
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*(?:\(\w{1,3}\))*|[㐀-鿿぀-ヿ]|[^\W\d_]+|[^\w\s]")
@@ -146,23 +149,40 @@ def novelty(question: str, reference: str) -> float:
     return max(0, left - 6) / max(1, plain - 6)
 
 
+#: Share of a response that the prompt leaves unexplained, and of the prompt that
+#: the response leaves: a copy below the first, none above the second.
+COPIED, ANSWERED = 0.19, 0.5
+
+
 def copies(question: str, reference: str) -> bool:
-    """The response is the prompt again, at most with marks, spaces, case, labels or a few letters changed."""
+    """The response is the prompt again, once or more often, at most with marks, spaces, case, labels or a few letters changed.
+
+    Both are taken as words, and compressed with each other as zstandard
+    dictionaries. That decides unless something is left that may be a few
+    changed letters or a word or two of its own; then the words are compared.
+    """
     q, r = visible(question), visible(reference)
-    if len(r.encode()) < 8 or len(q.encode()) < 8:
-        return q.lower() == r.lower() and bool(q)
-    if novelty(q.lower(), r.lower()) > 0.7:
-        return False
     a = [t for t in _TOKEN.findall(q.lower()) if t[0].isalnum()]
     b = [t for t in _TOKEN.findall(r.lower()) if t[0].isalnum()]
     while b and b[0] in _LABELS and b[0] != (a[0] if a else ""):
         b = b[1:]
     while b and b[-1] in _LABELS and b[-1] != (a[-1] if a else ""):
         b = b[:-1]
-    if not a or not b or len(b) < 0.3 * len(a):
+    if not a or not b:
+        return q.lower() == r.lower() and bool(q)
+    if {t for t in b if t[0].isdigit()} - {t for t in a if t[0].isdigit()}:
+        return False  # a number of its own
+    told = novelty(" ".join(a), " ".join(b))
+    if told > ANSWERED:
         return False
-    numbers = Counter(t for t in b if t[0].isdigit()) - Counter(t for t in a if t[0].isdigit())
-    if numbers:
+    if max(told, novelty(" ".join(b), " ".join(a))) <= COPIED:
+        return True
+    return _same_words(a * max(1, round(len(b) / len(a))), b)
+
+
+def _same_words(a: list[str], b: list[str]) -> bool:
+    """Are the words of the response those of the prompt but for spelling and function words?"""
+    if len(b) < 0.3 * len(a):
         return False
     cjk = sum(len(t) == 1 and not t.isascii() for t in a) > len(a) / 2
     if not cjk and SequenceMatcher(None, a[0], b[0], autojunk=False).ratio() < 0.6 and not _ASKING.intersection(b[:3]):
@@ -191,6 +211,8 @@ _LABELS = set("a q answer question response reply antwort frage réponse questio
 
 def script(s: str) -> str | None:
     """Language told by script, ``latin``, or None where there are no letters."""
+    if not _FOREIGN.search(s):
+        return "latin" if _LATIN.search(s) else None
     counts = {k: len(r.findall(s)) for k, r in _SCRIPTS}
     latin = sum(map(len, _LATIN.findall(s)))
     if counts["ja"]:
@@ -242,13 +264,21 @@ class Model:
     @classmethod
     def word_keys(cls, question: str | None, reference: str | None, contexts: list[str | None] | None) -> Iterator[tuple[str, str]]:
         """``(language, word)`` of the words in sentences whose language function words tell; language '' with every lower-case word."""
+        for lang, words in cls.word_lists(question, reference, contexts):
+            yield from ((lang, w) for w in words)
+
+    @classmethod
+    def word_lists(cls, question: str | None, reference: str | None, contexts: list[str | None] | None) -> Iterator[tuple[str, list[str]]]:
+        """The same, the words of a sentence at once."""
         for text in (question, reference, *(contexts or ())):
             for sentence in _SENTENCE.split(text or ""):
                 words = _LATIN.findall(sentence)
-                found = [w.lower() for w in words]
-                if (lang := cls._by_function_words(found)) and len(found) > 3:
-                    yield from ((lang, w) for w in found)
-                yield from (("", w) for w in words if not w[0].isupper())
+                if len(words) > 3:
+                    found = [w.lower() for w in words]
+                    if lang := cls._by_function_words(found):
+                        yield lang, found
+                if words:
+                    yield "", [w for w in words if not w[0].isupper()]
 
     def learn_words(self, counts: dict[tuple[str, str], int]) -> None:
         """Take the counts of ``word_keys`` over all pairs."""
@@ -282,9 +312,12 @@ class Model:
 
     @staticmethod
     def _by_function_words(words: list[str]) -> str | None:
-        score = {k: sum(w in _FUNCTION[k] for w in words) for k in FUNCTION_WORDS}
-        top = sorted(score.values())
-        return max(score, key=lambda k: score[k]) if top[-1] >= 2 and top[-1] > top[-2] else None
+        score = [0] * len(FUNCTION_WORDS)
+        for w in words:
+            for i in _SPOKEN.get(w, ()):
+                score[i] += 1
+        top = max(score)
+        return _LANGUAGES[score.index(top)] if top >= 2 and score.count(top) == 1 else None
 
     def tokens(self, s: str) -> list[str]:
         """Tokens with numbers, and names of any length, as classes; ``^`` opens the response, ``<`` every later sentence."""
@@ -403,6 +436,8 @@ class Model:
 
 
 _FUNCTION = {k: set(v) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES = list(FUNCTION_WORDS)
+_SPOKEN = {w: tuple(i for i, v in enumerate(_FUNCTION.values()) if w in v) for w in set().union(*_FUNCTION.values())}
 _ASKING = set("what who whom whose when where why how which warum wann wer wem was wie welche welchen welcher welches pourquoi quand qui quel quelle quels quelles combien qué quién quiénes cuándo cuál cuánto cuántos".split())
 _LIGHT = {w for v in FUNCTION_WORDS.values() for w in v} - set("no not nicht ne pas non nein".split()) | set("a an do between under".split())
 _STOPS = set(".!?。！？;；؟।")
@@ -436,27 +471,25 @@ def distinct_pairs(df: DataFrame) -> DataFrame:
     return df.filter("qa_id is not null").groupBy("qa_id").agg(F.min_by(row, F.xxhash64(row)).alias("r")).select("r.*")
 
 
-def _counted(rows: DataFrame, ddl: str, table_of: Callable[[Counter], dict], keys_of: Callable[[tuple], Iterable]) -> DataFrame:
-    """Tables of partial counts: the counter of each task, handed on whenever it holds ``FLUSH`` keys."""
+def word_counts(pairs: DataFrame) -> DataFrame:
+    """``(lang, word, n)`` over all pairs; see ``Model.word_keys``. A task hands its counters on at ``FLUSH`` words."""
+
+    def table_of(counts: dict[str, Counter]) -> pa.RecordBatch:
+        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts.update(keys_of(row))
-                if len(counts) >= FLUSH:
-                    yield pa.RecordBatch.from_pydict(table_of(counts))
-                    counts.clear()
-        if counts:
-            yield pa.RecordBatch.from_pydict(table_of(counts))
-
-    return rows.mapInArrow(run, ddl)
+                for lang, words in Model.word_lists(*row):
+                    counts[lang].update(words)
+            if sum(map(len, counts.values())) >= FLUSH:
+                yield table_of(counts)
+        yield table_of(counts)
 
-
-def word_counts(pairs: DataFrame) -> DataFrame:
-    """``(lang, word, n)`` over all pairs; see ``Model.word_keys``."""
-    parts = _counted(pairs, "lang string, word string, n bigint", lambda c: {"lang": [k for k, _ in c], "word": [w for _, w in c], "n": list(c.values())}, lambda row: Model.word_keys(*row))
-    return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return pairs.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def fit(df: DataFrame) -> Model:
@@ -466,21 +499,80 @@ def fit(df: DataFrame) -> Model:
     return model
 
 
-def context_counts(pairs: DataFrame, packed: Broadcast) -> DataFrame:
-    """``(key, ends, inner)``: the terminal contexts of all responses that are frequent enough to judge by."""
-    held: list[Model] = []
+def _hash(tokens: list[str], held: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of tokens; ``held`` remembers them."""
+    out = np.empty(len(tokens), np.uint64)
+    for i, t in enumerate(tokens):
+        h = held.get(t)
+        if h is None:
+            if len(held) > 300_000:
+                held.clear()
+            h = held[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
+        out[i] = h
+    return out
+
+
+def _onto(h: np.ndarray, last: np.ndarray | np.uint64) -> np.ndarray:
+    """Hash of a context that ``last`` is put after."""
+    with np.errstate(over="ignore"):
+        x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + last
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+_ANY = np.uint64(xxhash.xxh64_intdigest(b"*"))
+
+
+def key_hash(key: tuple[str, ...]) -> int:
+    """The 64 bits by which a terminal context is counted."""
+    h = np.full(1, len(key), np.uint64)
+    for t in key:
+        h = _onto(h, _ANY if t == "*" and len(key) > 1 else _hash([t], {}))
+    return int(h.view(np.int64)[0])
+
+
+def hashed_contexts(responses: list[list[str]], held: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, ends, inner) of all terminal contexts of tokenized responses, each hash once: ``Model.contexts`` in arrays."""
+    size = np.array([len(r) for r in responses], np.int64)
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)  # in its response
+    flat = [t for r in responses for t in r]
+    h = _hash(flat, held)
+    stop = np.fromiter((t in _STOPS for t in flat), bool, len(flat))
+    final = np.append(stop[1:], True) if len(flat) else stop
+    final = final | (place == np.repeat(size, size) - 1)
+
+    def chained(k: int, starred: bool) -> np.ndarray:
+        """Contexts of ``k`` tokens that end at each place, wrong where the response has no so many before."""
+        x = np.full(len(h), k, np.uint64)
+        for back in range(k - 1, -1, -1):
+            x = _onto(x, _ANY if starred and not back else np.roll(h, back))
+        return x
+
+    found, last = [], []
+    for k, starred in ((7, False), (6, False), (5, False), (4, False), (3, False), (4, True), (3, True), (2, False), (1, False)):
+        at = np.flatnonzero(~stop & (place >= k - 1))
+        found.append(chained(k, starred)[at])
+        last.append(final[at])
+    if not len(h):
+        return h, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, where = np.unique(np.concatenate(found), return_inverse=True)
+    ends = np.bincount(where, np.concatenate(last), len(keys)).astype(np.int64)
+    return keys, ends, np.bincount(where, minlength=len(keys)) - ends
 
-    def keys_of(row: tuple) -> Iterable:
-        if not held:
-            held.append(pickle.loads(packed.value))
-        return held[0].contexts(row[0])
 
-    def table_of(c: Counter) -> dict:
-        return {"key": [SEP.join(k) for k, _ in c], "ends": [n if final else 0 for (_, final), n in c.items()], "inner": [0 if final else n for (_, final), n in c.items()]}
+def context_counts(pairs: DataFrame, packed: Broadcast) -> DataFrame:
+    """``(key, ends, inner)``, counts of a task's batches: how often a terminal
+    context ends a sentence or response, and how often it goes on. Contexts are
+    known by 64-bit hashes; two of ``n`` are taken for one with a chance of ``n / 2^64`` each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(packed.value)
+        held: dict[str, int] = {}
+        for batch in batches:
+            keys, ends, inner = hashed_contexts([model.tokens(visible(r)) for r in batch.column(0).to_pylist()], held)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ends), pa.array(inner)], names=["key", "ends", "inner"])
 
-    parts = _counted(pairs.select("reference"), "key string, ends bigint, inner bigint", table_of, keys_of)
-    whole = parts.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("inner").alias("inner"))
-    return whole.filter(F.when(F.col("key").contains(SEP), F.expr("ends + inner >= 4")).otherwise(F.expr("ends > 0 or inner > 1")))
+    return pairs.select("reference").mapInArrow(run, "key bigint, ends bigint, inner bigint")
 
 
 def defects(df: DataFrame) -> DataFrame:
@@ -489,8 +581,8 @@ def defects(df: DataFrame) -> DataFrame:
     Null or blank references are ``empty``; a null prompt or null contexts leave
     out what needs them. Repeated rows are judged alike and come once for each;
     an empty table gives no row. All pairs are counted: words first, which are
-    broadcast (bounded by the vocabulary), then terminal contexts, a table that
-    meets the responses it must judge in a join.
+    broadcast (bounded by the vocabulary), then the terminal contexts that some
+    response must be judged by, a table that meets those responses in a join.
     """
     df = df.select("qa_id", "user_input", "reference", "reference_contexts")
     packed = df.sparkSession.sparkContext.broadcast(pickle.dumps(fit(df)))
@@ -499,23 +591,26 @@ def defects(df: DataFrame) -> DataFrame:
         model = pickle.loads(packed.value)
         for batch in batches:
             out = []
-            for k, q, r, c in zip(*batch.columns, strict=True):
-                kind = judged(model, q.as_py(), r.as_py(), c.as_py())
+            for k, q, r, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                kind = judged(model, q, r, c)
                 if isinstance(kind, Open):
-                    out.append({"qa_id": k.as_py(), "defect": None, **kind._asdict()})
+                    keys = [x.split(SEP) for x in kind.keys]
+                    out.append({"qa_id": k, "defect": None, "keys": [{"key": key_hash(x), "several": len(x) > 1} for x in keys], "elliptical": kind.elliptical, "long": kind.long})
                 elif kind:
-                    out.append({"qa_id": k.as_py(), "defect": kind, "keys": None, "elliptical": None, "long": None})
+                    out.append({"qa_id": k, "defect": kind, "keys": None, "elliptical": None, "long": None})
             yield pa.RecordBatch.from_pylist(out, _JUDGED)
 
-    rows = settle(df.mapInArrow(run, "qa_id bigint, defect string, keys array<string>, elliptical boolean, long boolean").withColumn("row", F.monotonically_increasing_id()))
-    asked = rows.filter("defect is null").select("row", "qa_id", "elliptical", "long", F.posexplode("keys").alias("at", "key"))
-    first = asked.join(context_counts(distinct_pairs(df), packed), "key").groupBy("row").agg(F.min(F.struct("at", "qa_id", "key", "ends", "inner", "elliptical", "long")).alias("f")).select("f.*")
+    rows = settle(df.mapInArrow(run, "qa_id bigint, defect string, keys array<struct<key: bigint, several: boolean>>, elliptical boolean, long boolean").withColumn("row", F.monotonically_increasing_id()))
+    asked = rows.filter("defect is null").select("row", "qa_id", "elliptical", "long", F.posexplode("keys").alias("at", "k")).select("*", "k.*").drop("k")
+    counts = context_counts(distinct_pairs(df), packed).join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("inner").alias("inner"))
     n = F.col("ends") + F.col("inner")
-    cut = F.when(F.col("elliptical"), F.col("key").contains(SEP) & (n >= 20) & (F.col("ends") < 0.02 * n) & F.col("long")).otherwise(F.col("ends") < 0.3 * n)
+    tells = F.when(F.col("several"), n >= 4).otherwise((F.col("ends") > 0) | (F.col("inner") > 1))
+    first = asked.join(counts, "key").filter(tells).groupBy("row").agg(F.min(F.struct("at", "qa_id", "several", "ends", "inner", "elliptical", "long")).alias("f")).select("f.*")
+    cut = F.when(F.col("elliptical"), F.col("several") & (n >= 20) & (F.col("ends") < 0.02 * n) & F.col("long")).otherwise(F.col("ends") < 0.3 * n)
     return rows.filter("defect is not null").select("qa_id", "defect").unionByName(first.filter(cut).select("qa_id", F.lit("truncated").alias("defect")))
 
 
-_JUDGED = pa.schema([("qa_id", pa.int64()), ("defect", pa.string()), ("keys", pa.list_(pa.string())), ("elliptical", pa.bool_()), ("long", pa.bool_())])
+_JUDGED = pa.schema([("qa_id", pa.int64()), ("defect", pa.string()), ("keys", pa.list_(pa.struct([("key", pa.int64()), ("several", pa.bool_())]))), ("elliptical", pa.bool_()), ("long", pa.bool_())])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,10 +294,23 @@ def test_all_pairs_are_counted(spark):
     assert words["", "zonula"] == words["en", "zonula"] == 1 and words["", "stands"] == n
     whole = pairs.Model(r[1:] for r in rows)
     packed = spark.sparkContext.broadcast(pickle.dumps(pairs.fit(df)))
-    assert {r.key: (r.ends, r.inner) for r in pairs.context_counts(pairs_, packed).collect()} == whole.endings
+    counts = {r.key: (r.ends, r.inner) for r in pairs.context_counts(pairs_, packed).groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("inner").alias("inner")).collect()}
+    every: Counter = Counter(x for r in rows for x in whole.contexts(r[2]))
+    assert counts == {pairs.key_hash(k): (every[k, True], every[k, False]) for k, _ in every}
+    assert whole.endings.items() <= {pairs.SEP.join(k): counts[pairs.key_hash(k)] for k, _ in every}.items()
     assert whole.endings["stands"] == (n, 0)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab AB.?,0 終。<^*", max_size=40), max_size=6))
+def test_contexts_in_arrays_are_those_told_one_by_one(texts):
+    m = pairs.Model()
+    want: Counter = Counter(x for t in texts for x in m.contexts(t))
+    keys, ends, inner = pairs.hashed_contexts([m.tokens(pairs.visible(t)) for t in texts], {})
+    got = {int(k): (int(e), int(i)) for k, e, i in zip(keys.view(np.int64), ends, inner, strict=True)}
+    assert got == {pairs.key_hash(k): (want[k, True], want[k, False]) for k, _ in want}
+
+
 def test_cut_thai_answers():
     shown = "ศาลตัดสินว่าสัญญาเช่าฉบับนี้สิ้นสุดลงแล้ว ผู้เช่าต้องคืนสำเนาทั้งหมดภายในสามสิบวัน"
     whole, cut = shown.split(" ")[0], shown[: shown.index("สิ้นสุด") + 4]
