@@ -56,9 +56,9 @@ REFUSALS = {
     "fr": r"""\bdésolée?s?\b|\bje (?:ne |n['’]|regrette|m['’]excuse|suis dans l['’]impossibilité|préfère ne)|\bmodèle de langage\b|\bil m['’]est impossible\b|\bne me permet(?:tent)? pas\b|\bne peux pas\b|\ben tant qu(?:e |['’])(?:ia|assistant|modèle|intelligence)|\b(?:contexte|extraits?|documents?|éléments|passages?) fournis?\b.{0,40}\b(?:ne|n['’])|\bimpossible de (?:répondre|vous)\b|\bmalheureusement\b.{0,30}\bje\b""",
     "es": r"""\blo (?:siento|lamento)\b|\blamento\b|\bno (?:me es posible|puedo|podría|debo|dispongo|tengo acceso|estoy en condiciones|estoy autorizad|sé)\b|\bmodelo de lenguaje\b|\bcomo (?:ia|asistente|inteligencia)\b|\bno (?:ofrece|contiene|proporciona|aporta)\b.{0,40}\b(?:suficiente|necesari)|\bme (?:temo|resulta imposible|disculpo)\b|\bno es posible (?:responder|contestar)|\bprefiero no\b""",
     "zh": r"""抱歉|对不起|遗憾|语言模型|人工智能|我(?:无法|不能|不便|不会|没有|拒绝|不知道)|无法(?:回答|作答|提供|确定|协助)|不足以(?:作答|回答)|恕(?:我|难)|不便(?:回答|发表|透露)""",
-    "ja": r"""申し訳|すみません|恐れ入り|言語モデル|ＡＩ|AIと|(?:回答|お答え|応答|返答|お手伝い|対応|提供|判断)(?:は|を)?(?:いた)?(?:できません|できかね|出来ません|しかねます|できない)|お答えできま|控え(?:ます|させ)|わかりかねます|分かりません|わかりません""",
+    "ja": r"""申し訳|すみません|恐れ入り|言語モデル|ａｉ|aiと|(?:回答|お答え|応答|返答|お手伝い|対応|提供|判断)(?:は|を)?(?:いた)?(?:できません|できかね|出来ません|しかねます|できない)|お答えできま|控え(?:ます|させ)|わかりかねます|分かりません|わかりません""",
 }
-_REFUSAL = {k: re.compile(v, re.I) for k, v in REFUSALS.items()}
+_REFUSAL = {k: re.compile(v) for k, v in REFUSALS.items()}  # of lower-case text
 # Polite sentences that may stand around a refusal.
 _FILLER = re.compile(
     r"^(?:thank|thanks|please|you may|you might|you could|could you|can you|would you|may i|is there|are there|let me know|feel free|hello|dear|hi\b|bitte|gerne|vielen dank|danke|wenden sie|könnten sie|kann ich|gibt es|n['’]hésitez|merci|veuillez|pourriez|souhaitez|avez-vous|vous pouvez|gracias|por favor|puede|podría|consulte|¿|请|谢谢|如需|您可以|ご|お|他に|詳し|弁護士)",
@@ -101,6 +101,7 @@ _INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿\x00-\x08\x0e-\x1f]")
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*(?:\(\w{1,3}\))*|[㐀-鿿぀-ヿ]|[^\W\d_]+|[^\w\s]")
 _QUOTED = re.compile(r"[“„«\"「『].*?[”“»\"」』]", re.S)
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+(?![a-z]|(?:Group|GmbH|Ltd|Inc|AB|SA)\b)|(?<=[。！？])|\n+")
+_PART = re.compile(r"[.!?]\s+(?![a-z])|[。！？]|\n+")  # roughly a sentence, to count words in
 _END = re.compile(r"[.!?…。！？؟।][\"'”’»)\]」』）*_`\s]*$")
 _HANGING = re.compile(r"[-–—,;:，、；：(\[“„«「/&+=][\s]*$")
 _ABBREVIATED = re.compile(r"(?:\b(?:art|arts|no|nos|nr|para|paras|abs|pp?|cf|vgl|vol|fig|dr|mr|mrs|ms|e\.g|i\.e|approx|z\. ?b|bzw|mio|v|p\. ?ex|núm|pág|págs|sr|sra|sec)|(?<![A-Z]\.)\b[A-Z])\.$", re.I)
@@ -128,7 +129,8 @@ def is_refusal(s: str) -> bool:
         part = part.strip(" \t-–—*>")
         if not part:
             continue
-        if any(r.search(part) for r in _REFUSAL.values()):
+        low = part.lower()
+        if any(r.search(low) for r in _REFUSAL.values()):
             declined = True
         elif not _FILLER.match(part) and len(part) > 12 and _LATIN.search(part) or re.search(r"[㐀-鿿぀-ヿ]{6}", part) and not _FILLER.match(part):
             other = True
@@ -271,7 +273,7 @@ class Model:
     def word_lists(cls, question: str | None, reference: str | None, contexts: list[str | None] | None) -> Iterator[tuple[str, list[str]]]:
         """The same, the words of a sentence at once."""
         for text in (question, reference, *(contexts or ())):
-            for sentence in _SENTENCE.split(text or ""):
+            for sentence in _PART.split(text or ""):
                 words = _LATIN.findall(sentence)
                 if len(words) > 3:
                     found = [w.lower() for w in words]
@@ -492,10 +494,10 @@ def word_counts(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(df: DataFrame) -> Model:
-    """The word model of all pairs. The driver holds the vocabulary, one count for each language and word."""
+def fit(pairs: DataFrame) -> Model:
+    """The word model of distinct pairs. The driver holds the vocabulary, one count for each language and word."""
     model = Model()
-    model.learn_words({(r[0], r[1]): r[2] for r in word_counts(distinct_pairs(df)).collect()})
+    model.learn_words({(r[0], r[1]): r[2] for r in word_counts(pairs).collect()})
     return model
 
 
@@ -585,7 +587,8 @@ def defects(df: DataFrame) -> DataFrame:
     response must be judged by, a table that meets those responses in a join.
     """
     df = df.select("qa_id", "user_input", "reference", "reference_contexts")
-    packed = df.sparkSession.sparkContext.broadcast(pickle.dumps(fit(df)))
+    once = settle(distinct_pairs(df))
+    packed = df.sparkSession.sparkContext.broadcast(pickle.dumps(fit(once)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(packed.value)
@@ -602,7 +605,7 @@ def defects(df: DataFrame) -> DataFrame:
 
     rows = settle(df.mapInArrow(run, "qa_id bigint, defect string, keys array<struct<key: bigint, several: boolean>>, elliptical boolean, long boolean").withColumn("row", F.monotonically_increasing_id()))
     asked = rows.filter("defect is null").select("row", "qa_id", "elliptical", "long", F.posexplode("keys").alias("at", "k")).select("*", "k.*").drop("k")
-    counts = context_counts(distinct_pairs(df), packed).join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("inner").alias("inner"))
+    counts = context_counts(once, packed).join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("inner").alias("inner"))
     n = F.col("ends") + F.col("inner")
     tells = F.when(F.col("several"), n >= 4).otherwise((F.col("ends") > 0) | (F.col("inner") > 1))
     first = asked.join(counts, "key").filter(tells).groupBy("row").agg(F.min(F.struct("at", "qa_id", "several", "ends", "inner", "elliptical", "long")).alias("f")).select("f.*")

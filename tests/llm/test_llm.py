@@ -293,7 +293,7 @@ def test_all_pairs_are_counted(spark):
     words = {(r.lang, r.word): r.n for r in pairs.word_counts(pairs_).collect()}
     assert words["", "zonula"] == words["en", "zonula"] == 1 and words["", "stands"] == n
     whole = pairs.Model(r[1:] for r in rows)
-    packed = spark.sparkContext.broadcast(pickle.dumps(pairs.fit(df)))
+    packed = spark.sparkContext.broadcast(pickle.dumps(pairs.fit(pairs_)))
     counts = {r.key: (r.ends, r.inner) for r in pairs.context_counts(pairs_, packed).groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("inner").alias("inner")).collect()}
     every: Counter = Counter(x for r in rows for x in whole.contexts(r[2]))
     assert counts == {pairs.key_hash(k): (every[k, True], every[k, False]) for k, _ in every}
