@@ -107,7 +107,7 @@ def test_controlled_rounding_keeps_margins():
         rows, cols = rng.randint(1, 5), rng.randint(1, 6)
         sizes = [rng.randint(0, 40) for _ in range(cols)]
         belongs = [sorted(rng.sample(range(cols), rng.randint(1, cols))) for _ in range(rows)]
-        totals = [rng.randint(0, 30) for _ in range(rows)]
+        totals = quotas.feasible([rng.randint(0, 3) for _ in range(rows)], [rng.randint(0, 30) for _ in range(rows)], belongs, sizes)
         f = quotas.spread(totals, belongs, sizes)
         g = quotas.controlled_rounding(f, sizes)
         for i in range(rows):
@@ -119,6 +119,36 @@ def test_controlled_rounding_keeps_margins():
     assert quotas.controlled_rounding([[Fraction(1, 2), Fraction(1, 2)]], [1, 1]) in ([[1, 0]], [[0, 1]])
 
 
+def test_both_margins_are_kept():
+    rng = random.Random(8)
+    for _ in range(60):
+        names = [(a, b) for a in "abc" for b in "xyz" if rng.random() < 0.8] or [("a", "x")]
+        sizes = [rng.randint(1, 60) for _ in names]
+        belongs = [[j for j, (a, _) in enumerate(names) if a == f] for f in "abc"]  # whole families
+        totals = quotas.feasible([0] * 3, [rng.randint(0, 40) for _ in range(3)], belongs, sizes)
+        f = quotas.spread(totals, belongs, sizes)
+        g = quotas.rounded(f, names, belongs, sizes)
+        assert [sum(r) for r in g] == totals
+        for pick in (0, 1):
+            for v in {n[pick] for n in names}:
+                inside = [j for j, n in enumerate(names) if n[pick] == v]
+                want = sum(r[j] for r in f for j in inside)
+                assert abs(sum(r[j] for r in g for j in inside) - want) < 1
+        assert all(sum(r[j] for r in g) <= n for j, n in enumerate(sizes))
+
+
+def test_overlapping_strata_share_by_flow(spark):
+    target = lambda i, fam, form, share, least=0: {"plan_id": 1, "stratum_id": i, "family": fam, "form": form, "share_permille": share, "min_rows": least, "rate_permille": 1000}
+    counts = {("a", "x"): 10, ("*", "*"): 10}
+    quota, report = quotas.allocate(counts, [target(1, "a", None, 500), target(2, None, "x", 500)])
+    assert [r[2:4] for r in report] == [(10, 10)] * 2 and sorted(r[4] for r in report) == [5, 5] and all(r[6] and not r[5] for r in report) and quota == [(1, "a", "x", 10)]
+    # a stratum that can go elsewhere does, whatever the order
+    counts = {("a", "x"): 10, ("a", "y"): 10}
+    quota, report = quotas.allocate(counts, [target(1, "a", None, 500), target(2, None, "x", 500)])
+    assert [r[4] for r in report] == [10, 10] and not any(r[6] for r in report) and sum(q[3] for q in quota) == 20
+    assert quotas.allocate({}, [target(1, "a", None, 500, 2)]) == ([], [(1, 1, 2, 0, 0, True, True)])
+
+
 def test_sample_is_exact_and_stable(spark):
     rows = [(i, ["Judicial", "JUDICIAL ", "policy", None, ""][i % 5], ["Order", "order.", "x"][i % 3]) for i in range(3000)] + [(1, "judicial", "order"), (None, "policy", "x")]
     corpus = spark.createDataFrame(rows, "doc_id bigint, family string, form string")
@@ -130,7 +160,7 @@ def test_sample_is_exact_and_stable(spark):
     assert sorted(a) == sorted(b) and Counter(r.plan_id for r in a) == {1: 300, 2: 150}
     assert len({(r.plan_id, r.doc_id) for r in a}) == 450 and Counter(r.family for r in a if r.plan_id == 1) == {"judicial": 180, "policy": 120}
     report = {r.stratum_id: r for r in quotas.quota_tables(corpus, targets)[2].collect()}
-    assert report[4].unmet and report[4].available == 0 and report[4].needed == 3 and not report[1].unmet
+    assert report[4].unmet and report[4].unfilled and report[4].fillable == 0 and report[4].needed == 3 and not report[1].unmet
     assert quotas.sample(corpus.filter("false"), targets).count() == 0
 
 
