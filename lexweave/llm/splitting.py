@@ -24,6 +24,8 @@ from ..session import table
 MARKS = ".!?…。！？؟।；"
 #: Boundary strengths, weakest first.
 FORCED, WORD, CLAUSE, SENTENCE, LINE, HEADING, BLANK = range(7)
+#: What a piece's end is called.
+NAMES = ("forced", "word", "clause", "sentence", "line", "numbered", "blank")
 
 _BLANK = re.compile(r"[^\S\n]*\r?\n(?:[^\S\n]*\r?\n)+\s*")
 _LINE = re.compile(r"\r?\n|[\r\v\f\x85  ]")
@@ -31,18 +33,20 @@ _NUMBERED = re.compile(r"(?:#{1,6}\s|Article\s+\d|\(?[0-9IVXivx]{1,5}[.)]\s|[-*
 _STOP = re.compile(rf"[{MARKS}]+[\"'”’»)\]」』]*(?:\s+|(?<=[。！？；])|$)|[;:,，、؛](?:\s+|(?<=[，、]))|\s+")
 
 
-def _runs(limit: int) -> re.Pattern:
-    return re.compile(rf"[^\s{re.escape(MARKS)}]{{{limit + 1},}}")
+_DIVIDES = re.compile(rf"[\s{re.escape(MARKS)}]")
 
 
-def atoms(text: str, core: int) -> tuple[list[int], list[int]]:
-    """(ends, strengths): offsets where atomic segments end and the strength of the boundary there.
+def atoms(text: str, core: int) -> tuple[list[int], list[int], int]:
+    """(ends, strengths, longest): offsets where atomic segments end, the strength
+    of the boundary there, and the longest stretch without any boundary among
+    the segments of more than ``core`` characters.
 
     Segments stop at sentence level; only those longer than ``core`` are opened
     further, at clauses, then words, then single marks, then by force.
     """
     ends: list[int] = []
     strength: list[int] = []
+    longest = 0
     marks: list[tuple[int, int]] = []
     seen = 0
     for m in _BLANK.finditer(text):
@@ -57,11 +61,11 @@ def atoms(text: str, core: int) -> tuple[list[int], list[int]]:
         if end <= start:
             continue
         if end - start > core:
-            _open(text, start, end, core, ends, strength)
+            longest = max(longest, _open(text, start, end, core, ends, strength))
         ends.append(end)
         strength.append(s)
         start = end
-    return ends, strength
+    return ends, strength, longest
 
 
 def _lines(text: str, start: int, end: int, marks: list[tuple[int, int]]) -> None:
@@ -81,9 +85,9 @@ def _sentences(text: str, start: int, end: int, marks: list[tuple[int, int]]) ->
             marks.append((m.end(), SENTENCE))
 
 
-def _open(text: str, start: int, end: int, core: int, ends: list[int], strength: list[int]) -> None:
-    """Inner boundaries of one long segment, not the one at ``end``."""
-    inner = []
+def _open(text: str, start: int, end: int, core: int, ends: list[int], strength: list[int]) -> int:
+    """Inner boundaries of one long segment, not the one at ``end``; the longest stretch that has none."""
+    inner, longest = [], 0
     for m in _STOP.finditer(text, start, end):
         if start < m.end() < end:
             c = text[m.start()]
@@ -91,6 +95,7 @@ def _open(text: str, start: int, end: int, core: int, ends: list[int], strength:
     at = start
     for stop, s in [*inner, (end, None)]:
         if stop - at > core:  # a single mark, then the limit
+            longest = max(longest, *map(len, _DIVIDES.split(text[at:stop])))
             while stop - at > core:
                 cut = max((text.rfind(c, at, at + core) for c in MARKS), default=-1) + 1
                 kind = WORD
@@ -103,17 +108,29 @@ def _open(text: str, start: int, end: int, core: int, ends: list[int], strength:
             ends.append(stop)
             strength.append(s)
             at = stop
+    return longest
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of the pieces, in order: each within ``limit`` characters and
     beginning ``overlap`` characters before the end of the one before it."""
+    return [(a, b) for a, b, _ in cut(text, limit, overlap)[0]]
+
+
+def cut(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(pieces ``(start, end, strength of the boundary at the end)``, longest stretch without a boundary).
+
+    What a piece adds to the one before has at most ``limit - overlap``
+    characters: a word longer than that is cut by force although it may be
+    within the limit. Stretches are told where they are longer than that.
+    """
     if len(text) <= limit:
-        return [(0, len(text))]
+        return [(0, len(text), BLANK)], 0
     core = limit - overlap
     if core <= 0 or overlap < 0:
         raise ValueError("the overlap must be smaller than the limit")
-    ends, strength = atoms(text, core)
+    ends, strength, longest = atoms(text, core)
+    at_end = dict(zip(ends, strength, strict=True))
     n = len(ends)
     starts = [0, *ends[:-1]]
     right = list(range(1, n + 1))
@@ -138,9 +155,9 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
             heappush(heap, (strength_of(strength, i), ends[i] - starts[h], h, i))
     out, i = [], 0
     while i < n:
-        out.append((max(0, starts[i] - overlap) if out else 0, ends[i]))
+        out.append((max(0, starts[i] - overlap) if out else 0, ends[i], at_end[ends[i]]))
         i = right[i]
-    return out
+    return out, longest
 
 
 def strength_of(strength: list[int], right: int) -> int:
@@ -151,29 +168,30 @@ def strength_of(strength: list[int], right: int) -> int:
 def split(df: DataFrame, key: str, text: str, limit: int, overlap: int, with_text: bool = True) -> DataFrame:
     """Pieces of the items of ``df`` whose ``text`` has more than ``limit`` characters.
 
-    ``(item_id, piece, start, end, cut, text)``: offsets are code points; ``cut``
-    is ``forced`` where the item holds a run longer than the limit without white
-    space or mark, else ``natural``. Null, empty and short items give no row;
+    ``(item_id, piece, start, end, boundary, cut, text)``: offsets are code
+    points; ``boundary`` is that at the piece's end, by name; ``cut`` is
+    ``forced`` where a segment of the item without any boundary is longer than
+    the limit, else ``natural``. Null, empty and short items give no row;
     repeated ids come once for each row. Only keys and texts of long items
     leave the JVM; no shuffle.
     """
-    run_ = _runs(limit)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
             for k, t in zip(*batch.columns, strict=True):
                 k, t = k.as_py(), t.as_py()
-                cut = "forced" if run_.search(t) else "natural"
-                for i, (a, b) in enumerate(pieces(t, limit, overlap)):
-                    for col, v in zip(cols, (k, i, a, b, cut, t[a:b] if with_text else None), strict=True):
+                found, longest = cut(t, limit, overlap)
+                kind = "forced" if longest > limit else "natural"
+                for i, (a, b, s) in enumerate(found):
+                    for col, v in zip(cols, (k, i, a, b, NAMES[s] if b < len(t) else "end", kind, t[a:b] if with_text else None), strict=True):
                         col.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["item_id", "piece", "start", "end", "cut", "text"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["item_id", "piece", "start", "end", "boundary", "cut", "text"])
 
     items = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).filter(F.char_length("t") > limit)
-    return items.mapInArrow(run, "item_id bigint, piece int, start bigint, end bigint, cut string, text string")
+    return items.mapInArrow(run, "item_id bigint, piece int, start bigint, end bigint, boundary string, cut string, text string")
 
 
 # The fields of size_limits and where they lie.
@@ -200,4 +218,5 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the splitter had to cut every oversized item, by its segments."""
     return _all(spark, sf_dir, False).select("item_field", "item_id", "cut").distinct()

@@ -181,6 +181,26 @@ def test_pieces_cut_at_the_strongest_boundary():
     assert [b - a for a, b in splitting.pieces("x" * 25, 10, 2)] == [10, 10, 9] or sum(b - a for a, b in splitting.pieces("x" * 25, 10, 2)) >= 25
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abcde .\n,!。 \r", max_size=300), st.integers(8, 40), st.integers(0, 7))
+def test_boundaries_are_those_of_the_text(text, limit, overlap):
+    import re
+
+    found, longest = splitting.cut(text, limit, overlap)
+    if len(text) > limit:
+        runs = max(map(len, re.split(rf"[\s{re.escape(splitting.MARKS)}]", text)))
+        assert (longest > limit) == (runs > limit) and (longest == runs or runs <= limit - overlap)
+    for _, b, s in found[:-1]:
+        divides = re.match(rf"[\s{re.escape(splitting.MARKS)}]", text[b - 1])
+        assert not divides if s == splitting.FORCED else divides or text[b - 1] == ","
+
+
+def test_words_within_the_limit_may_be_forced():
+    text = " ".join(c * 90 for c in "abcd")
+    found, longest = splitting.cut(text, 100, 20)
+    assert longest == 90 and any(s == splitting.FORCED for _, _, s in found) and all(b - a <= 100 for a, b, _ in found)
+
+
 def test_split_rows(spark):
     df = spark.createDataFrame([(1, None, "c"), (2, "", "c"), (3, "word " * 30, "c"), (4, "x" * 90, "c"), (4, "x" * 90, "c")], "doc_id bigint, text string, cut string")
     got = splitting.split(df, "doc_id", "text", 40, 5).collect()
