@@ -77,6 +77,38 @@ def test_packing_respects_every_capacity(lengths, rule, max_docs):
     assert len(bins) == len(x) and set(bins.tolist()) == set(range(bins.max() + 1))
 
 
+def _scan(lengths, capacity, max_docs, max_cost, rule):
+    """Vector best-fit that looks at every container."""
+    w = np.asarray(packing.WEIGHTS) / np.array([capacity, max_docs, max_cost], float) ** 2
+    left, out = [], {}
+    for i in np.argsort(-lengths, kind="stable"):
+        x = lengths[i]
+        need = np.array([x, 1, x * x])
+        fits = [(w @ (r - need) ** 2 if rule == "norm" else -(w @ (r * need)), k) for k, r in enumerate(left) if (r >= need).all()]
+        k = min(fits)[1] if fits else len(left)
+        if not fits:
+            left.append(np.array([capacity, max_docs, max_cost], float))
+        left[k] = left[k] - need
+        out[i] = k
+    return [out[i] for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_indexed_best_fit_is_that_of_all_containers(rule):
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        x = rng.integers(1, 64, rng.integers(1, 150)).astype(float)
+        caps = (64, int(rng.integers(2, 20)), float(rng.integers(64 * 64, 2 * 64 * 64)))
+        a, b = packing.vector_best_fit(x, *caps, rule).tolist(), _scan(x, *caps, rule)
+        assert sum(p == q for p, q in zip(a, b, strict=True)) >= len(x) - (0 if rule == "norm" else 2)  # sums in another order may tie otherwise
+
+
+def test_every_shard_has_a_task(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 50 + 1).alias("n_tokens"))
+    parts = packing.pack(df, 64, shard_items=500).select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r.shard for r in parts}) == 8 and len({r.p for r in parts}) >= 5 and len(parts) == 8
+
+
 def test_pack_splits_only_what_must_be(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([None, 0, 5, 30, 64, 65, 300, 7])) for i in range(400)]
@@ -86,11 +118,13 @@ def test_pack_splits_only_what_must_be(spark):
     parts = defaultdict(list)
     for r in out:
         parts[r.doc_id].append((r.piece, r.start, r.end))
-        assert r.n_pieces == -(-size[r.doc_id] // 64)
+        assert r.n_pieces == max(1, -(-(size[r.doc_id] or 0) // 64))
     for k, v in parts.items():
         v.sort()
-        assert v[0][1] == 0 and v[-1][2] == size[k] and all(a[2] == b[1] for a, b in zip(v, v[1:]))
-    assert set(parts) == {k for k, n in rows if n}
+        assert v[0][1] == 0 and v[-1][2] == (size[k] or 0) and all(a[2] == b[1] for a, b in zip(v, v[1:]))
+    assert set(parts) == set(size)
+    held = Counter((r.shard, r.bin) for r in packing.pack(df, 64, max_docs=3, shard_items=100).collect())
+    assert max(held.values()) <= 3
     used = Counter()
     for r in out:
         used[r.shard, r.bin] += r.end - r.start
