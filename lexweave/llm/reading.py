@@ -26,6 +26,8 @@ from ..session import table
 
 #: Rows of the reference that are used at most (least passage_id); the table has 48.
 FIT_PASSAGES = 5000
+#: Pairs of units of different level that are used at most, drawn at random beyond.
+FIT_PAIRS = 4_000_000
 #: A document counts as English prose from this share of English function words
 #: among its words, and of letters among its visible characters.
 LEAST_FUNCTION_WORDS, LEAST_LETTERS, LEAST_WORDS = 0.145, 0.72, 60
@@ -54,14 +56,36 @@ def _syllables(w: str) -> int:
     return max(1, len(_VOWELS.findall(w)) - (len(w) > 3 and w.endswith("e") and not w.endswith("le")))
 
 
+def kind(text: str | None) -> str:
+    """What a text's level rests on: ``prose`` (English, 60 words and more), ``short``
+    (English, fewer), ``other`` (mostly other things than English words), ``empty`` (no letter)."""
+    if not text:
+        return "empty"
+    spaced, words = text.split(), _WORD.findall(text)
+    if not words:
+        return "empty"
+    long = len(spaced) >= LEAST_WORDS
+    if long and len(words) < LEAST_WORDS // 2 or sum(map(len, words)) < LEAST_LETTERS * sum(map(len, spaced)):
+        return "other"
+    if sum(w.lower() in FUNCTION_WORDS for w in words) < LEAST_FUNCTION_WORDS * len(words):
+        return "other"
+    return "prose" if long else "short"
+
+
 def english_prose(text: str | None) -> bool:
     """At least 60 words by white space, mostly letters, with the function words of English."""
-    if not text or len(spaced := text.split()) < LEAST_WORDS:
-        return False
-    words = _WORD.findall(text)
-    if len(words) < LEAST_WORDS // 2 or sum(map(len, words)) < LEAST_LETTERS * sum(map(len, spaced)):
-        return False
-    return sum(w.lower() in FUNCTION_WORDS for w in words) >= LEAST_FUNCTION_WORDS * len(words)
+    return kind(text) == "prose"
+
+
+def _pairs(y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(harder, easier): all pairs of units of different level, or ``most`` of them drawn at random."""
+    order = np.argsort(y, kind="stable")
+    below = np.searchsorted(y[order], y[order])  # how many are easier
+    ends = np.cumsum(below)
+    n = int(ends[-1]) if len(ends) else 0
+    at = np.arange(n) if n <= most else np.sort(np.random.default_rng(0).integers(0, n, most))
+    i = np.searchsorted(ends, at, side="right")
+    return order[i], order[at - (ends[i] - below[i])]
 
 
 class _Known(dict):
@@ -162,11 +186,17 @@ class Model:
             float(passive), pronoun / n, prep / n, (n - len(plain)) / n, float(_DIGIT.search(unit) is not None), float(asks > 0),
         ]
 
-    def score(self, text: str) -> float:
-        """Mean score of the English units of ``text``, each counting once."""
+    def score(self, text: str, english: bool = True) -> float:
+        """Mean score of the English units of ``text``, each counting once.
+
+        Of a text that isn't English all units count, by syntax and word shape only.
+        """
         rows, words_part = [], []
         for u in self.units(text):
             words = self._words(u)
+            if not english:
+                rows.append(self._syntax(u, words)), words_part.append(0.0)
+                continue
             known = [self.word[w] for w in set(words) if w in self.word]
             if len(known) * 4 < len(set(words)):
                 continue  # not English, or no words
@@ -179,18 +209,19 @@ class Model:
         return float((dense + np.array(words_part)).mean())
 
     @staticmethod
-    def _rank(x: np.ndarray, y: np.ndarray, rounds: int, shrink: float = 2e-3) -> np.ndarray:
-        """Full-batch gradient descent with momentum on the mean pairwise logistic loss."""
+    def _rank(x: np.ndarray, y: np.ndarray, rounds: int, shrink: float = 2e-3, most: int = FIT_PAIRS) -> np.ndarray:
+        """Full-batch gradient descent with momentum on the mean logistic loss of pairs of different level."""
         w = np.zeros(x.shape[1])
-        if not len(y):
+        harder, easier = _pairs(y, most)
+        if not len(harder):
             return w
         speed = np.zeros_like(w)
-        harder = (y[:, None] > y[None, :]).astype(float) * (y[:, None] - y[None, :])
-        total = max(1.0, harder.sum())
+        apart = y[harder] - y[easier]
         for _ in range(rounds):
             s = x @ w
-            g = harder / (1 + np.exp(np.clip(s[:, None] - s[None, :], -30, 30)))
-            speed = 0.9 * speed - x.T @ (g.sum(0) - g.sum(1)) / total - shrink * w
+            g = apart / (1 + np.exp(np.clip(s[harder] - s[easier], -30, 30)))
+            pull = np.bincount(harder, g, len(y)) - np.bincount(easier, g, len(y))
+            speed = 0.9 * speed + x.T @ pull / apart.sum() - shrink * w
             w = w + speed
         return w
 
@@ -208,9 +239,9 @@ class Model:
         self.knots = np.array([b[2] / b[1] for b in blocks] or [0.0])
         self.levels = np.array([b[0] for b in blocks] or [1.0])
 
-    def level(self, text: str) -> tuple[int, float]:
+    def level(self, text: str, english: bool = True) -> tuple[int, float]:
         """(level 1-4, calibrated score) of a text as a whole."""
-        got = float(np.interp(self.score(text), self.knots, self.levels))
+        got = float(np.interp(self.score(text, english), self.knots, self.levels))
         return int(min(4, max(1, got + 0.5))), got
 
 
@@ -223,12 +254,14 @@ def fit(reference: DataFrame, passages: int = FIT_PASSAGES) -> Model:
     return Model((r["text"], r["level"]) for r in rows)
 
 
-def levels(df: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, level, score)`` of every row whose text is English prose of 60 words or more.
+def levels(df: DataFrame, model: Model, every: bool = False) -> DataFrame:
+    """``(doc_id, level, score, basis)`` of every row whose text is English prose of 60 words or more.
 
-    Null, empty, short and other texts give no row; repeated rows are judged
-    alike, one row each. Whole texts are read. One narrow stage; the model,
-    bounded by the reference, is broadcast.
+    With ``every`` all rows are given and ``basis`` says what the level rests on
+    (see ``kind``): short English texts are judged like long ones, other texts by
+    syntax and word shape only; null texts and those without a letter have null
+    level and score. Repeated rows are judged alike, one row each. Whole texts
+    are read. One narrow stage; the model, bounded by the reference, is broadcast.
     """
     packed = df.sparkSession.sparkContext.broadcast(pickle.dumps(model.__dict__))
 
@@ -236,25 +269,33 @@ def levels(df: DataFrame, model: Model) -> DataFrame:
         model = Model.__new__(Model)
         model.__dict__.update(pickle.loads(packed.value))
         for batch in batches:
-            ids, found, scores = [], [], []
+            out: tuple[list, ...] = ([], [], [], [])
             for k, t in zip(*batch.columns, strict=True):
                 text = t.as_py()
-                if english_prose(text):
-                    v, mean = model.level(text)
-                    ids.append(k.as_py()), found.append(v), scores.append(mean)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "level", "score"])
+                basis = kind(text)
+                if basis == "prose" or every:
+                    level, score = (None, None) if basis == "empty" else model.level(text, basis != "other")
+                    for col, v in zip(out, (k.as_py(), level, score, basis), strict=True):
+                        col.append(v)
+            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "level", "score", "basis"])
+
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, level bigint, score double, basis string")
+
 
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, level bigint, score double")
+def _levels(spark: SparkSession, sf_dir: str, every: bool) -> DataFrame:
+    return levels(table(spark, sf_dir, "documents", "doc_id", "text"), fit(table(spark, sf_dir, "reading_reference", "passage_id", "level", "text")), every)
 
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels(table(spark, sf_dir, "documents", "doc_id", "text"), fit(table(spark, sf_dir, "reading_reference", "passage_id", "level", "text")))
+    """The level of every document, and what it rests on."""
+    return _levels(spark, sf_dir, True)
 
 
 def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and mean score by level."""
-    return p8_levels(spark, sf_dir).groupBy("level").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("score"), 3).alias("mean_score"))
+    """Documents and mean score by basis and level, all documents counted."""
+    return p8_levels(spark, sf_dir).groupBy("basis", "level").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("score"), 3).alias("mean_score"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_levels(spark, sf_dir).select("doc_id", "level")
+    return _levels(spark, sf_dir, False).select("doc_id", "level")

@@ -429,6 +429,25 @@ def test_levels_rows(spark, sf):
     assert reading.Model([]).level("some text here")[0] == 1
 
 
+def test_pairs_of_levels():
+    y = np.array([2.0, 1.0, 3.0, 1.0])
+    harder, easier = reading._pairs(y, 99)
+    assert sorted(zip(harder.tolist(), easier.tolist())) == [(0, 1), (0, 3), (2, 0), (2, 1), (2, 3)]
+    some = reading._pairs(np.repeat([1.0, 2.0], 500), 1000)
+    assert len(some[0]) == 1000 and (some[0] >= 500).all() and (some[1] < 500).all()
+    assert not len(reading._pairs(np.zeros(0), 9)[0]) and not len(reading._pairs(np.ones(3), 9)[0])
+
+
+def test_every_document_has_a_level(spark, sf):
+    m = reading.fit(spark.read.parquet(f"{sf}/reading_reference.parquet"))
+    easy = "We like the red map. You can sing at the zoo. "
+    rows = [(1, None), (2, ""), (3, " \n"), (4, easy * 10), (5, easy), (6, "Das Gericht verwarf die Klage von Voss. " * 20), (7, "x = y[3] + 4;\n" * 60), (8, "12 34\n" * 90), (4, easy * 10)]
+    got = {r.doc_id: (r.level, r.basis) for r in reading.levels(spark.createDataFrame(rows, "doc_id bigint, text string"), m, every=True).collect()}
+    assert {k: b for k, (_, b) in got.items()} == {1: "empty", 2: "empty", 3: "empty", 4: "prose", 5: "short", 6: "other", 7: "other", 8: "empty"}
+    assert all((level is None) == (b == "empty") for level, b in got.values()) and got[4][0] == got[5][0] == 1
+    assert reading.levels(spark.createDataFrame(rows, "doc_id bigint, text string"), m, every=True).count() == len(rows)
+
+
 # --- queries
 
 
