@@ -2,24 +2,29 @@
 
 A pushdown automaton reads the events of a text: terminators, quotation marks
 and brackets, line breaks, and -- in scripts without sentence marks -- spaces.
-Its stack holds the closing marks that are still open (and is emptied where a
-paragraph, list item or table row ends); only at depth zero can a terminator
-end a sentence. Abbreviations are found by walking a trie of reversed spellings
+Its stack holds the levels of lists, and above them the closing marks that are
+still awaited. Marks are left where a paragraph, list item or table row ends;
+only with none open can a terminator end a sentence. Levels are entered by an
+item further in and left by one further out, by a line further out or by a
+heading; a line that stands at the text column of the level on top goes on with
+that item. Abbreviations are found by walking a trie of reversed spellings
 back from the dot; what may stand before and after decides the rest.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import prepare, settle, spread, table
 
 # Abbreviations after which a sentence goes on, by language.
 NEVER = (
@@ -49,8 +54,8 @@ ORDINAL_BEFORE = set("am vom der dem den des zum zur ab im bis die das beim seit
 LABEL_BEFORE = set("annex part schedule class category table figure appendix group type section chapter title option anexo annexe anhang teil abschnitt".split())
 # Words with which no line or sentence ends.
 RUNS_ON = set("the a an of to and or in on by for with from at as that which is are was be its their under this between than not any each le la les des du de et ou à un une der die das und oder von mit für im den dem ein eine zu el los las y o en con por para del que".split())
-# Words after which a capitalised brand keeps its exclamation mark.
-BRAND_AFTER = set("Group GmbH Ltd Inc AB SA Media Press Records Studios Networks Software Tunes Verlag Labs Archive Broadcasting Systems Collect & KG plc".split())
+# Legal forms, before which a capitalised brand keeps its exclamation mark.
+BRAND_AFTER = set("Group GmbH Ltd Inc AB SA AG NV BV SARL SpA LLC Corp Co & KG plc".split())
 # Thai words that go on with the clause before the space.
 THAI_ON = ("และ", "หรือ", "แต่", "ซึ่ง", "เพราะ", "เนื่องจาก", "โดย", "เพื่อ", "ที่", "ว่า", "ต่อหน้า")
 # Closing mark of each opening one.
@@ -117,36 +122,38 @@ def _abbreviation(text: str, dot: int, start: int) -> int:
 
 
 class _Layout:
-    """Which line breaks a text's sentences may run over: lines broken at a fixed width."""
+    """Which line breaks a text's sentences may run over: lines broken at a fixed width.
+
+    A break between two lines is explained by every width that has room for the
+    first but not for the beginning of the second too. The width that explains
+    most breaks is the text's, if it explains at least two of them, and more than
+    speak against it: breaks after lines that it had room to go on with, and
+    longer lines that it should have broken. Lines without a place to break
+    don't tell.
+    """
 
     def __init__(self, text: str):
         self.width = 0
-        ends = [m.start() for m in re.finditer("\n", text)]
-        if not ends:
-            return
-        lines = text.replace("\r", "").split("\n")
-        body = [len(x) for x in lines if 20 <= len(x) and not _ROW.match(x) and " " in x.strip() or _CJK.search(x[:40])]
-        if not body:
+        if "\n" not in text:
             return
-        width = max(body)
-        if width > 140:
-            # a few unbreakable lines (addresses, codes) may stand out of a wrapped text
-            body.sort()
-            width = body[max(0, int(len(body) * 0.97) - 1)]
-            if width > 140 or len(body) < 8:
-                return
-        full = 0
-        for a, b in zip(lines, lines[1:]):
-            if b.strip() and a.strip() and len(a) <= width + 1 and len(a) + 1 + _first(b) > width:
-                full += 1
-                if full >= 2:
-                    break
-        if full >= 2 or (full and width < 100):
-            self.width = width
+        lines = [x.rstrip() for x in text.split("\n")]
+        spans = [(len(a), len(a) + _first(b)) for a, b in zip(lines, lines[1:]) if b and len(a) >= 20 and not _ROW.match(a) and (" " in a.strip() or _CJK.search(a))]
+        steps = Counter()
+        for low, high in spans:
+            steps[low] += 1
+            steps[high + 1] -= 1
+        explained = best = 0
+        for w in sorted(steps):
+            explained += steps[w]
+            if explained >= max(best, 2):
+                best, self.width = explained, w
+        early = sum(low <= self.width for low, _ in spans) - best
+        longer = sum(len(x) > self.width and not _ROW.match(x) and bool(" " in x[: self.width].strip() or _CJK.search(x, 0, self.width)) for x in lines)
+        if best <= early + longer:
+            self.width = 0
 
     def wraps(self, line: str, following: str) -> bool:
-        line = line.rstrip("\r")
-        return bool(self.width) and len(line) + 1 + _first(following) > self.width
+        return 0 < self.width < len(line.rstrip()) + 1 + _first(following)
 
 
 def _first(line: str) -> int:
@@ -178,11 +185,74 @@ def boundaries(text: str) -> list[int]:
     """Offsets after the last character of each sentence of ``text``, in order."""
     out: list[int] = []
     layout = _Layout(text)
+    levels: list[Level] = []
     at = 0
     for m in _BLANK.finditer(text):
-        _paragraph(text, at, m.start(), layout, out)
+        _paragraph(text, at, m.start(), layout, levels, out)
         at = m.end()
-    _paragraph(text, at, len(text), layout, out)
+    _paragraph(text, at, len(text), layout, levels, out)
+    return out
+
+
+class Level(NamedTuple):
+    """A list level: columns of its markers and of its items' text, and its last number."""
+
+    marker: int
+    text: int
+    number: int | None
+
+
+def _number(marker: str) -> int | None:
+    """What the marker of an item counts: a number or a letter."""
+    m = _COUNTS.search(marker)
+    return None if not m else int(m.group()) if m.group().isdigit() else ord(m.group().lower()) - ord("a") + 1
+
+
+_COUNTS = re.compile(r"\d+(?=\D*$)|(?<![^\W\d_])[A-Za-z](?![^\W\d_])")
+
+
+def _column(text: str, at: int) -> int:
+    """Column of the first visible character of the line that begins at or holds ``at``."""
+    line = text.rfind("\n", 0, at) + 1
+    k = line
+    while k < len(text) and text[k] in " \t\u00a0\u3000":
+        k += 1
+    return k - line
+
+
+def _enter(text: str, start: int, end: int, levels: list[Level]) -> int:
+    """Take the line of a sentence that begins at ``start`` onto the stack; the offset up to which its number or bullet goes."""
+    item = _ITEM.match(text, start, end)
+    here = _column(text, start)
+    while levels and (levels[-1].marker > here or levels[-1].marker == here and item or not item and here < levels[-1].text):
+        levels.pop()
+    if not item:
+        return start
+    levels.append(Level(here, here + _skip(text, item.end(), _line_end(text, item.end(), end)) - start, _number(item.group())))
+    return item.end()
+
+
+#: Marks that open and close; those that may do either close only what is on top.
+_EITHER = "“\""
+_MARK = re.compile("[“”„«»‹›「」『』()\\[\\]（）［］【】〈〉《》\"]")
+
+
+def _paired(text: str, begin: int, end: int) -> set[int]:
+    """Places of the opening marks of a paragraph that have a closing one.
+
+    A closing mark takes the nearest opening one that awaits it, however far;
+    those opened in between are strays, as are those never closed.
+    """
+    awaited: list[tuple[str, int]] = []
+    out: set[int] = set()
+    for m in _MARK.finditer(text, begin, end):
+        c = m.group()
+        depth = next((d for d in range(len(awaited) - 1, -1, -1) if c in awaited[d][0]), -1)
+        if depth >= 0 and (c not in _EITHER or depth == len(awaited) - 1):
+            out.add(awaited[depth][1])
+            del awaited[depth:]
+        elif c in CLOSES or c == '"':
+            awaited.append((CLOSES.get(c, '"'), m.start()))
     return out
 
 
@@ -199,12 +269,12 @@ def _skip(text: str, i: int, end: int) -> int:
     return i
 
 
-def _paragraph(text: str, begin: int, end: int, layout: _Layout, out: list[int]) -> None:
+def _paragraph(text: str, begin: int, end: int, layout: _Layout, levels: list[Level], out: list[int]) -> None:
     stack: list[tuple[str, int]] = []  # closing marks awaited, place of the opening
     start = _skip(text, begin, end)  # of the sentence
     line = begin  # start of the line
-    item = _ITEM.match(text, start, end)
-    guard = item.end() if item else start  # no boundary within a number or bullet
+    guard = _enter(text, start, end, levels)  # no boundary within a number or bullet
+    opening = _paired(text, begin, end)
     pos = start
     find = _EVENT.search
     while (m := find(text, pos, end)) is not None:
@@ -214,17 +284,15 @@ def _paragraph(text: str, begin: int, end: int, layout: _Layout, out: list[int])
         if c == "\n":
             if start >= i:  # the sentence before has ended already
                 start = _skip(text, j, end)
-                item = _ITEM.match(text, start, end)
-                guard = item.end() if item else start
+                guard = _enter(text, start, end, levels)
                 pos = max(pos, start)
                 line = start
                 continue
-            if _line_ends(text, line, i, j, end, start, guard, stack, layout):
+            if _line_ends(text, line, i, j, end, start, guard, stack, levels, layout):
                 _emit(text, start, i, out)
                 stack.clear()
                 start = _skip(text, j, end)
-                item = _ITEM.match(text, start, end)
-                guard = item.end() if item else start
+                guard = _enter(text, start, end, levels)
                 pos = max(pos, start)
             line = j
             continue
@@ -243,18 +311,13 @@ def _paragraph(text: str, begin: int, end: int, layout: _Layout, out: list[int])
                 guard = start
             continue
         if c in CLOSES or c == '"':
-            want = CLOSES.get(c, '"')
-            stop = end
-            if any(text.find(x, j, stop) >= 0 for x in want):
-                stack.append((want, i))
+            if i in opening:
+                stack.append((CLOSES.get(c, '"'), i))
             continue
         if c in _CLOSERS:
             continue  # closes nothing that is open
         if stack:
-            if c in _STOPS and len(stack) and _stray(text, stack, i, end):
-                stack.clear()
-            else:
-                continue
+            continue
         cut = _stop_ends(text, i, j, start, end)
         if cut:
             _emit(text, start, cut, out)
@@ -270,15 +333,6 @@ def _line_end(text: str, i: int, end: int) -> int:
     return end if k < 0 else k
 
 
-def _stray(text: str, stack: list[tuple[str, int]], i: int, end: int) -> bool:
-    """An opening mark whose closing one lies implausibly far is taken for a stray."""
-    want, opened = stack[0]
-    if i - opened < 600:
-        return False
-    near = min((k for k in (text.find(x, i, end) for x in want) if k >= 0), default=end)
-    return near - opened > 1500
-
-
 def _quote_ends(text: str, opened: int, i: int, j: int, start: int, end: int) -> bool:
     """Does the quotation or bracket closed at ``i`` end the sentence around it?"""
     k = i - 1
@@ -406,7 +460,7 @@ def _previous(text: str, i: int, start: int) -> str:
     return text[k:e]
 
 
-def _line_ends(text: str, line: int, i: int, j: int, end: int, start: int, guard: int, stack: list, layout: _Layout) -> bool:
+def _line_ends(text: str, line: int, i: int, j: int, end: int, start: int, guard: int, stack: list, levels: list[Level], layout: _Layout) -> bool:
     """Does the single line break at ``i`` end the sentence?"""
     nxt = _line_end(text, j, end)
     if _ROW.match(text, j, nxt) or _ROW.match(text, line, i) or _HEAD.match(text, j, nxt) or _HEAD.match(text, line, i):
@@ -422,8 +476,12 @@ def _line_ends(text: str, line: int, i: int, j: int, end: int, start: int, guard
     item = _ITEM.match(text, j, nxt)
     if item and (not wrapped or bare[-1:] in ";:.!?。！？…," and not stack):
         return True
+    if item and not stack and (n := _number(item.group())) and any(x.number == n - 1 for x in levels):
+        return True  # a wrapped line may begin with a number, but hardly with the next one
+    n = _skip(text, j, nxt)
     if stack:
         return not (wrapped or text[n].islower())
+    within = not item and bool(levels) and levels[-1].text == n - j > levels[-1].marker  # at the text column of the item on top
     k = len(bare)
     while k and bare[k - 1] in _CLOSERS + "\"'’“":
         k -= 1
@@ -440,7 +498,7 @@ def _line_ends(text: str, line: int, i: int, j: int, end: int, start: int, guard
         return True
     if last == "|" and k > 1 and "ऀ" <= bare[k - 2] <= "ॿ":
         return True
-    if wrapped:
+    if wrapped or within:
         # in a script without marks a wrapped line may also end a sentence; that space is judged like any other
         if "ก" <= last <= "๛" and "ก" <= text[n] <= "๛":
             return not text.startswith(THAI_ON, n)
@@ -473,15 +531,30 @@ def sentence_ends(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ends array<int>").withColumnRenamed("key", key)
 
 
+def _kept(df: DataFrame) -> Column:
+    """By what the one row of a repeated id is chosen: the least hash of its text."""
+    return F.xxhash64("text")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = sentence_ends(table(spark, sf_dir, "corpus_clean", "doc_id", "text"))
-    once = ends.groupBy("doc_id").agg(F.min("ends").alias("ends"))
-    return once.select("doc_id", F.explode("ends").alias("end")).select("doc_id", F.col("end").cast("bigint").alias("end_pos"))
+    corpus = table(spark, sf_dir, "corpus_clean", "doc_id", "text")
+    ends = sentence_ends(corpus.withColumn("key", F.struct("doc_id", _kept(corpus).alias("h"))), key="key").select("key.*", "ends")
+    once = ends.groupBy("doc_id").agg(F.min(F.struct("h", "ends")).alias("r"))
+    return once.select("doc_id", F.explode("r.ends").alias("end")).select("doc_id", F.col("end").cast("bigint").alias("end_pos"))
 
 
 def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, sentence_no, start_pos, end_pos, sentence)``: every sentence in order."""
-    corpus = table(spark, sf_dir, "corpus_clean", "doc_id", "text").dropDuplicates(["doc_id"])
+    """``(doc_id, sentence_no, start_pos, end_pos, sentence)``: every sentence in order.
+
+    Texts are not shuffled: the rows of repeated ids that go are found by their
+    places in the files, and left out of the scan by a join whose side is
+    broadcast where it is small.
+    """
+    rows = prepare(spark).read.parquet(f"{sf_dir}/corpus_clean.parquet").select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    keyed = rows.select("doc_id", F.struct(_kept(rows).alias("h"), "file", "at").alias("row"))
+    several = keyed.groupBy("doc_id").agg(F.min("row").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("doc_id", "id")
+    again = settle(keyed.join(several, F.col("doc_id").eqNullSafe(F.col("id"))).filter("row <> kept").select("row.file", "row.at"))
+    corpus = spread(rows.join(again, ["file", "at"], "left_anti").select("doc_id", "text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -260,6 +260,11 @@ def test_split_rows(spark):
         ("หนึ่งสอง สามสี่ห้า “หก เจ็ด” ต่อหน้าศาล", ["หนึ่งสอง", "สามสี่ห้า “หก เจ็ด” ต่อหน้าศาล"]),
         ("Das Gericht tagte am 5. Mai vor der 9. Kammer. Es gilt z. B. Nr. 4 usw. Danach Ende.", ["Das Gericht tagte am 5. Mai vor der 9. Kammer.", "Es gilt z. B. Nr. 4 usw.", "Danach Ende."]),
         ("Lodged in Novburg.The next one", ["Lodged in Novburg.", "The next one"]),
+        ("1. One\n   goes On here\n   a) Inner\n      text Of inner\n   b) Second\n2. Two", ["1. One\n   goes On here", "a) Inner\n      text Of inner", "b) Second", "2. Two"]),
+        ("- Outer\n  - Inner\nAfter the list", ["- Outer", "- Inner", "After the list"]),
+        ("It is “open. And on. Then “said. So” he. " + "Word goes. " * 200 + "Now “told. So” he.", ["It is “open.", "And on.", "Then “said. So” he."] + ["Word goes."] * 200 + ["Now “told. So” he."]),
+        ("He “" + "said. So. " * 300 + "It” was.", ["He “" + "said. So. " * 300 + "It” was."]),
+        ("See (the “first) part. It ended.", ["See (the “first) part.", "It ended."]),
         ("by Zim Yoodl! Group in 1990! See https://a.example/x.html now.", ["by Zim Yoodl! Group in 1990!", "See https://a.example/x.html now."]),
     ],
 )
@@ -285,6 +290,31 @@ def test_wrapped_lines_run_on():
     assert len(sentences.boundaries(text)) == 3
 
 
+def test_wrapped_lines_are_told_by_what_they_explain():
+    import textwrap
+
+    words = "The committee noted that No body had Asked for the Office of Records to act in May and so It did not".split()
+    for width in (30, 75, 160, 260):
+        rng = random.Random(width)
+        body = " ".join(rng.choice(words) for _ in range(width * 2))
+        wrapped = textwrap.fill(body, width, break_long_words=False)
+        assert sentences._Layout(wrapped).width and sentences.boundaries(wrapped) == [len(wrapped)]
+        address = "https://a.example/" + "x" * 300
+        assert sentences._Layout(f"{address}\n{wrapped}\n{address}").width
+        lines = "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(5, 60))) for _ in range(20))
+        assert not sentences._Layout(lines).width
+    assert not sentences._Layout("one\ntwo").width and not sentences._Layout("").width
+
+
+def test_sentences_are_those_of_p4_found(spark, tmp_path):
+    rows = [(1, "A b. C d."), (1, "A b. C d."), (2, None), (3, ""), (None, "E f."), (None, "E f."), (4, "X y."), (4, "Z. Q r s."), (5, "Ok. " * 3)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2).write.parquet(f"{tmp_path}/corpus_clean.parquet")
+    got = sorted((r.doc_id or 0, r.sentence_no, r.end_pos, r.sentence) for r in sentences.p4_sentences(spark, str(tmp_path)).collect())
+    found = sorted((r.doc_id or 0, r.end_pos) for r in sentences.p4_found(spark, str(tmp_path)).collect())
+    assert [(k, e) for k, _, e, _ in got] == found and len(got) == len(set(got))
+    assert [x[3] for x in got if x[0] == 1] == ["A b.", "C d."] and {x[0] for x in got} == {0, 1, 4, 5}
+
+
 def test_sentence_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (4, "A b. C d."), (4, "A b. C d.")], "doc_id bigint, text string")
     got = Counter((r.doc_id, tuple(r.ends)) for r in sentences.sentence_ends(df).collect())
