@@ -37,6 +37,10 @@ SUBSETS = [list(c) for c in combinations(range(PARTS), KEPT)]
 #: Cells of 48 that must agree for a candidate to be compared in full: at
 #: similarity 0.6 fewer agree once in a million pairs.
 LEAST_CELLS = 13
+#: Pairs of one record that are compared in one run.
+RUN = 512
+#: Hubs of a signature before what is left of it is compared pair by pair.
+ROUNDS = 4
 _WHITE = re.compile(r"\s+")
 
 
@@ -171,82 +175,101 @@ def _agreeing(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Exact similarity of whole contents; rows come clustered by ``a``, whose features are kept while they last."""
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)`` of the pairs whose whole contents are similar enough, exactly.
+
+    The text of ``a`` comes once for a run of ``RUN`` pairs, before those of the
+    pairs' ``b``; a record with many pairs is spread over as many runs.
+    """
+    runs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
+    of = lambda df, k: df.join(texts.withColumnRenamed("doc_id", k), k)
+    first = of(runs.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run")), "a").select("a", "run", F.lit(None).cast("bigint").alias("b"), "title", "text")
+    rest = of(pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), "runs").cast("int").alias("run"), "b"), "b").select("a", "run", "b", "title", "text")
+    rows = first.unionByName(rest).repartition("a", "run").sortWithinPartitions("a", "run", F.asc_nulls_first("b"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
+        mine = None
         for batch in batches:
-            out_a, out_b, out_s = [], [], []
-            for a, ta, xa, b, tb, xb in zip(*(c for c in batch.columns), strict=True):
-                a, b = a.as_py(), b.as_py()
-                if len(kept) > 256:
-                    kept.clear()
-                if a not in kept:
-                    kept[a] = features(content(ta.as_py(), xa.as_py()))
-                if b not in kept:
-                    kept[b] = features(content(tb.as_py(), xb.as_py()))
-                fa, fb = kept[a], kept[b]
-                both = len(np.intersect1d(fa, fb, assume_unique=True))
-                either = len(fa) + len(fb) - both
+            out_a, out_b = [], []
+            for a, _, b, title, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = features(content(title, text))
+                if b is None:
+                    mine = found
+                    continue
+                both = len(np.intersect1d(mine, found, assume_unique=True))
+                either = len(mine) + len(found) - both
                 if either and both >= similarity * either - 1e-9:
-                    out_a.append(a), out_b.append(b), out_s.append(both / either)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_s, pa.float64())], names=["a", "b", "similarity"])
+                    out_a.append(a), out_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint, similarity double")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def linked(df: DataFrame, similarity: float = 0.6, least_chars: int = 400) -> tuple[DataFrame, DataFrame]:
-    """(links between representatives of exact copies ``(a, b, similarity)``, membership ``(doc_id, a)``).
+class Search:
+    """What a search for similar records rests on, written once.
 
     ``df``: doc_id, title, text; other columns are ignored. A representative is
     the least id of the records whose title and text are the same; repeated ids
-    count once. Hot signatures need no salt: a shuffled self-join whose skewed
-    partitions AQE splits, on one row a representative, so groups of exact
-    copies of any size are one row here.
+    count once, so a group of exact copies of any size is one row in all that
+    follows. ``members``: ``(doc_id, a)``, records and their representatives;
+    ``shared``: ``(sig, id)``, signatures that several representatives have.
+    """
+
+    def __init__(self, df: DataFrame, similarity: float, least_chars: int):
+        self.similarity = similarity
+        found = settle(records(df.select("doc_id", "title", "text"), least_chars))
+        members = found.groupBy("doc_id").agg(F.min("copy").alias("copy"))
+        reps = found.groupBy("copy").agg(F.min_by(F.struct("doc_id", "n", "cells"), "doc_id").alias("r")).select("copy", "r.*")
+        self.members = members.join(reps.select("copy", F.col("doc_id").alias("a")), "copy").select("doc_id", "a")
+        self.reps = settle(reps.select("doc_id", "n", "cells"))
+        sig = signed(spread(self.reps), similarity).repartition("sig")
+        self.shared = settle(sig.withColumn("many", F.count(F.lit(1)).over(W.partitionBy("sig"))).filter("many > 1").select("sig", "id"))
+        self.texts = df.select("doc_id", "title", "text").filter(F.char_length("text") >= least_chars)
+
+    def verified(self, candidates: DataFrame) -> DataFrame:
+        """``(a, b)`` of the distinct candidates ``(a, b)`` that are similar: by sizes and sketches, then exactly."""
+        of = lambda s: self.reps.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("cells").alias(f"c{s}"))
+        likely = settle(_agreeing(candidates.join(of("a"), "a").join(of("b"), "b"), self.similarity))
+        wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = self.texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return settle(_verified(likely, texts, self.similarity))
+
+
+def linked(df: DataFrame, similarity: float = 0.6, least_chars: int = 400) -> tuple[DataFrame, DataFrame]:
+    """(all links ``(a, b)`` between representatives of exact copies, membership ``(doc_id, a)``).
+
+    Hot signatures need no salt: a shuffled self-join whose skewed partitions
+    AQE splits, on one row a representative.
     """
-    found = settle(records(df.select("doc_id", "title", "text"), least_chars))
-    members = found.groupBy("doc_id").agg(F.min("copy").alias("copy"))
-    reps = found.groupBy("copy").agg(F.min_by(F.struct("doc_id", "n", "cells"), "doc_id").alias("r")).select("copy", "r.*")
-    members = members.join(reps.select("copy", F.col("doc_id").alias("a")), "copy").select("doc_id", "a")
-    reps = settle(reps.select("doc_id", "n", "cells"))
-    sig = signed(spread(reps), similarity).repartition("sig")
-    shared = settle(sig.withColumn("many", F.count(F.lit(1)).over(W.partitionBy("sig"))).filter("many > 1").select("sig", "id"))
-    x, y = shared.withColumnRenamed("id", "a"), shared.withColumnRenamed("id", "b")
-    candidates = x.join(y, "sig").filter("a < b").select("a", "b").distinct()
-    of = lambda s: reps.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("cells").alias(f"c{s}"))
-    likely = settle(_agreeing(candidates.join(of("a"), "a").join(of("b"), "b"), similarity))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = df.select("doc_id", "title", "text").filter(F.char_length("text") >= least_chars).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    text = lambda s: texts.select(F.col("doc_id").alias(s), F.col("title").alias(f"t{s}"), F.col("text").alias(f"x{s}"))
-    pairs = likely.join(text("b"), "b").join(text("a"), "a").select("a", "ta", "xa", "b", "tb", "xb")
-    return _verified(pairs, similarity), members
+    s = Search(df, similarity, least_chars)
+    x, y = s.shared.withColumnRenamed("id", "a"), s.shared.withColumnRenamed("id", "b")
+    return s.verified(x.join(y, "sig").filter("a < b").select("a", "b").distinct()), s.members
 
 
 def pairs(df: DataFrame, similarity: float = 0.6, least_chars: int = 400) -> DataFrame:
-    """``(doc_id_a, doc_id_b)``, a < b: every pair of different records that are similar enough.
+    """``(doc_id_a, doc_id_b)``, a < b: every pair of different texts that are similar enough.
 
-    Links between different texts are given for all members of both groups of
-    copies. Within a group of exact copies (same title and text) each member is
-    paired with the least id only, so a group's rows grow with its size.
+    Groups of exact copies (same title and text) are not multiplied: a link
+    between two texts is given for every member of either group with the least
+    id of the other, and within a group each member is paired with the least
+    id. Rows grow with the size of the groups, and no link between different
+    texts is lost.
     """
     links, members = linked(df, similarity, least_chars)
-    links, members = settle(links.select("a", "b")), settle(members)
-    left = members.select(F.col("a"), F.col("doc_id").alias("p"))
-    right = members.select(F.col("a").alias("b"), F.col("doc_id").alias("q"))
-    crossed = links.join(left, "a").join(right, "b").select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b"))
-    copies = members.filter("a < doc_id").select(F.col("a").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"))
-    return crossed.unionByName(copies)
+    copies = settle(members.filter("a < doc_id"))  # (doc_id, a) of those that are no representatives
+    crossed = [links.select("a", "b")]
+    for one, other in (("a", "b"), ("b", "a")):
+        crossed.append(links.join(copies.withColumnRenamed("a", one), one).select(F.least("doc_id", other).alias("a"), F.greatest("doc_id", other).alias("b")))
+    out = crossed[0].unionByName(crossed[1]).unionByName(crossed[2]).unionByName(copies.select("a", F.col("doc_id").alias("b")))
+    return out.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
-def classes(df: DataFrame, similarity: float = 0.6, least_chars: int = 400) -> DataFrame:
-    """``(doc_id, class_id, n_links)``: connected groups, named by their least id; one row per record.
+def components(links: DataFrame) -> DataFrame:
+    """``(u, root)``, u > root: connected ids of ``(a, b)`` with the least of their component.
 
-    Components by alternating neighbour-minimum rounds (large-star, small-star)
-    on checkpointed edge tables until no edge changes.
+    Alternating neighbour-minimum rounds (large-star, small-star) on written
+    edge tables until no edge changes.
     """
-    links, members = linked(df, similarity, least_chars)
-    links, members = settle(links.select("a", "b")), settle(members)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before = None
     while True:
@@ -258,11 +281,40 @@ def classes(df: DataFrame, similarity: float = 0.6, least_chars: int = 400) -> D
         edges = settle(small.filter("u > v").distinct())
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            break
+            return edges.select("u", F.col("v").alias("root"))
         before = state
-    n = links.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    named = members.join(edges.select(F.col("u").alias("a"), F.col("v").alias("root")), "a", "left").join(n, "a", "left")
-    return named.select("doc_id", F.coalesce("root", "a").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def classes(df: DataFrame, similarity: float = 0.6, least_chars: int = 400) -> DataFrame:
+    """``(doc_id, class_id, class_size)``: connected groups, named by their least id; one row per record.
+
+    All pairs of a group are never compared. In a round every signature's least
+    member is the hub to which those of other classes are compared, then it
+    leaves; a signature whose members are of one class is done. So a group of
+    texts that are all similar costs a comparison or few for each. What is
+    still undecided after ``ROUNDS`` hubs is compared pair by pair between
+    classes: the result is that of all pairs.
+    """
+    s = Search(df, similarity, least_chars)
+    live = s.shared.withColumn("c", F.col("id"))
+    links = tested = None
+    for turn in range(ROUNDS + 1):
+        hubs = settle(live.groupBy("sig").agg(F.min(F.struct("c", "id")).alias("h"), F.max("c").alias("top")).filter("h.c < top").select("sig", F.col("h.c").alias("hc"), F.col("h.id").alias("hub")))
+        if turn and hubs.isEmpty():
+            break
+        if turn < ROUNDS:
+            met = live.join(hubs, "sig").filter("c <> hc").select("hub", "id")
+        else:
+            met = live.join(live.select("sig", F.col("id").alias("hub"), F.col("c").alias("hc")), "sig").filter("hub < id and c <> hc").select("hub", "id")
+        candidates = met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+        candidates = settle(candidates if tested is None else candidates.join(tested, ["a", "b"], "left_anti"))
+        found = s.verified(candidates)
+        links, tested = (found, candidates) if links is None else (links.unionByName(found), tested.unionByName(candidates))
+        of = components(links)
+        left = live.join(hubs, "sig").filter("id <> hub").select("sig", "id")
+        live = settle(left.join(of, left["id"] == of["u"], "left").select("sig", "id", F.coalesce("root", "id").alias("c")))
+    named = settle(s.members.join(of.withColumnRenamed("u", "a"), "a", "left").select("doc_id", F.coalesce("root", "a").alias("class_id")))
+    return named.join(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "class_id").select("doc_id", "class_id", "class_size")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
