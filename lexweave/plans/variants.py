@@ -88,6 +88,11 @@ class Corpus:
     embed: object
     answers: object
     score: object = fusion.overlap_score
+    postings: bm25.Index | None = None  # built on the first search that needs it
+
+    def sparse(self) -> bm25.Index:
+        self.postings = self.postings or bm25.build(self.chunks)
+        return self.postings
 
 
 def filtered_search(c: Corpus, queries: DataFrame, retrieval: dict, k: int) -> DataFrame:
@@ -103,7 +108,7 @@ def base_search(c: Corpus, queries: DataFrame, retrieval: dict, k: int, pool: in
     """``(qid, rank0, chunk_id, score)`` of queries ``(qid, text)`` by a retrieval strategy."""
     kind = retrieval["strategy"]
     if kind == "bm25":
-        return bm25.search(queries, c.chunks, k)
+        return bm25.search(queries, c.sparse(), k)
     if kind not in ("cosine", "mmr", "hybrid"):
         raise NotImplementedError(f"retrieval strategy {kind!r}")
     q = c.embed(queries, "qid", "text")
@@ -112,7 +117,7 @@ def base_search(c: Corpus, queries: DataFrame, retrieval: dict, k: int, pool: in
     if kind == "mmr":
         return dense.mmr(q, c.vectors, k, pool or retrieval.get("fetch_k", 30))
     fetch = fusion.fetch_size(k)
-    return fusion.hybrid(dense.topk(q, c.vectors, fetch), bm25.search(queries, c.chunks, fetch), k)
+    return fusion.hybrid(dense.topk(q, c.vectors, fetch), bm25.search(queries, c.sparse(), fetch), k)
 
 
 def plan(c: Corpus, queries: DataFrame, cfg: dict) -> DataFrame:

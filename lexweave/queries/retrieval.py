@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import bm25, dense, fusion
 from ..operators.embedding import embed
-from ..session import table
+from ..session import once, settle, table
 from .scalars import strip_sql
 
 WS = T.WS
@@ -30,6 +30,15 @@ def _chunks(spark, sf_dir):
     return table(spark, sf_dir, "chunks", "chunk_id", "page_content").dropDuplicates(["chunk_id"])
 
 
+def _bm25(spark, sf_dir):
+    """The index of all chunks, shared by every search of the session."""
+    return once(spark, sf_dir, "chunks", ("bm25",), lambda: bm25.build(_chunks(spark, sf_dir)))
+
+
+def _chunk_vectors(spark, sf_dir):
+    return once(spark, sf_dir, "chunks", ("vectors", "hashed"), lambda: settle(embed(_chunks(spark, sf_dir), "chunk_id", "page_content")))
+
+
 def _questions(spark, sf_dir):
     g = table(spark, sf_dir, "gold_dataset", "qa_id", "user_input", "reference").filter("qa_id % 100 = 0").dropDuplicates(["qa_id"])
     return g.select(F.col("qa_id").alias("qid"), F.col("user_input").alias("text"), "reference")
@@ -77,14 +86,13 @@ def bm25_index(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    return bm25.search(_questions(spark, sf_dir), _chunks(spark, sf_dir), K)
+    return bm25.search(_questions(spark, sf_dir), _bm25(spark, sf_dir), K)
 
 
 def hybrid_topk(spark, sf_dir):
-    chunks, q = _chunks(spark, sf_dir), _questions(spark, sf_dir)
-    fetch = fusion.fetch_size(K)
-    near = dense.topk(embed(q, "qid", "text", query=True), embed(chunks, "chunk_id", "page_content"), fetch)
-    return fusion.hybrid(near, bm25.search(q, chunks, fetch), K)
+    q, fetch = _questions(spark, sf_dir), fusion.fetch_size(K)
+    near = dense.topk(embed(q, "qid", "text", query=True), _chunk_vectors(spark, sf_dir), fetch)
+    return fusion.hybrid(near, bm25.search(q, _bm25(spark, sf_dir), fetch), K)
 
 
 def rrf_fuse(spark, sf_dir):
@@ -116,7 +124,7 @@ def _expanded(kind):
     def query(spark, sf_dir):
         v = fusion.variants(_answers(spark, sf_dir), kind, 4)
         keyed = v.withColumn("v", F.xxhash64("qid", "list_id"))
-        base = bm25.search(keyed.select(F.col("v").alias("qid"), "text"), _chunks(spark, sf_dir), K).withColumnRenamed("qid", "v")
+        base = bm25.search(keyed.select(F.col("v").alias("qid"), "text"), _bm25(spark, sf_dir), K).withColumnRenamed("qid", "v")
         lists = base.join(keyed.select("v", "qid", "list_id"), "v").select("qid", "list_id", "rank0", "chunk_id")
         if kind in fusion.FUSION:
             return fusion.FUSION[kind](lists, K, "chunk_id").select("qid", "rank0", "chunk_id")
@@ -162,7 +170,7 @@ def bm25_precision_recall(spark, sf_dir):
     if it is one of the question's contexts. Precision at rank, recall and their sum."""
     from ..operators import metrics
 
-    hits = bm25.search(_questions(spark, sf_dir), _chunks(spark, sf_dir), K)
+    hits = bm25.search(_questions(spark, sf_dir), _bm25(spark, sf_dir), K)
     gold = table(spark, sf_dir, "gold_dataset", "qa_id", "reference_contexts").filter("qa_id % 100 = 0").dropDuplicates(["qa_id"]).select(F.col("qa_id").alias("qid"), F.coalesce("reference_contexts", F.array().cast("array<string>")).alias("gold"))
     judged = hits.join(_chunks(spark, sf_dir), "chunk_id").join(gold, "qid").withColumn("v", F.array_contains("gold", F.col("page_content")).cast("int"))
     precision = metrics.context_precision(judged.select("qid", "rank0", "v"))

@@ -7,10 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -56,6 +59,7 @@ def release() -> None:
 
     Runs by itself when the driver ends.
     """
+    _SHARED.clear()
     while _WRITTEN:
         fs, path = _WRITTEN.pop()
         try:
@@ -67,6 +71,24 @@ def release() -> None:
 atexit.register(release)
 
 
+_SHARED: dict[tuple, object] = {}
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Length and time of change of the files under ``path``: another text, another fingerprint."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return "|".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` builds (and settles) from a table, built once for each content of the table and ``key``."""
+    full = (spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/{name}.parquet"), key)
+    if full not in _SHARED:
+        _SHARED[full] = make()
+    return _SHARED[full]
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: ``df`` as a table written once in the cluster's shared folder.
 
