@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import bm25, dense, fusion
 from ..operators.chunking import ChunkConfig
 from ..operators.selection import resolve
@@ -148,3 +149,10 @@ def plan(c: Corpus, queries: DataFrame, cfg: dict) -> DataFrame:
         return fusion.listwise(candidates, c.answers(queries, "rank").select("qid", "answer"), again["top_k"]).select("qid", "rank0", "chunk_id")
     score: Column = c.score(F.col("question"), F.col("page_content"))
     return fusion.rerank(candidates, again["top_k"], score).select("qid", "rank0", "chunk_id")
+
+
+def prompts(c: Corpus, queries: DataFrame, hits: DataFrame, template: str) -> DataFrame:
+    """``(qid, prompt)`` of every query: its hits' contents in their order as context."""
+    shown = hits.join(c.chunks.select("chunk_id", "page_content"), "chunk_id").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank0", "page_content"))).getField("page_content").alias("found"))  # top k of a query
+    context = F.array_join(F.coalesce("found", F.array().cast("array<string>")), "\n\n---\n\n")
+    return queries.join(shown, "qid", "left").select("qid", T.fill(template, context=context, question=F.coalesce("text", F.lit(""))).alias("prompt"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, dense, fusion
+from ..operators import bm25, dense, fusion, generation
 from ..operators.embedding import embed
 from ..session import once, settle, table
 from .scalars import strip_sql
@@ -69,6 +69,25 @@ def dense_topk(spark, sf_dir):
     return dense.topk(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir).drop("label"), K)
 
 
+def dense_topk_cells(spark, sf_dir):
+    """Approximate: out of the cells nearest to the query."""
+    cells = once(spark, sf_dir, "embeddings", ("cells",), lambda: dense.build_cells(_vectors(spark, sf_dir)))
+    return dense.topk_cells(_vector_queries(spark, sf_dir), cells, K)
+
+
+def dense_topk_all_cells(spark, sf_dir):
+    """The same index with all cells probed: exact."""
+    cells = once(spark, sf_dir, "embeddings", ("cells",), lambda: dense.build_cells(_vectors(spark, sf_dir)))
+    return dense.topk_cells(_vector_queries(spark, sf_dir), cells, K, probes=len(cells.centroids))
+
+
+def hybrid_vectors(spark, sf_dir):
+    """Hybrid search with given vectors: ids of embeddings stand for chunks and questions."""
+    q, fetch = _questions(spark, sf_dir), fusion.fetch_size(K)
+    near = dense.topk(_vector_queries(spark, sf_dir).join(q.select("qid"), "qid", "left_semi"), _vectors(spark, sf_dir).drop("label"), fetch)
+    return fusion.hybrid(near, bm25.search(q, _bm25(spark, sf_dir), fetch), K)
+
+
 def dense_topk_filtered(spark, sf_dir):
     return dense.topk(_vector_queries(spark, sf_dir, True), _vectors(spark, sf_dir), K, filters=["label"])
 
@@ -165,6 +184,17 @@ def prompt_render(spark, sf_dir):
     return r.select("result_id", F.md5(T.fill(PROMPT, context=context, question=F.coalesce("user_input", F.lit("")))).alias("prompt"))
 
 
+def _prompts(spark, sf_dir):
+    r = _results(spark, sf_dir, "user_input", "retrieved_contexts")
+    context = F.array_join(F.coalesce("retrieved_contexts", F.array().cast("array<string>")), "\n\n---\n\n")
+    return r.select(F.col("result_id").alias("qid"), T.fill(PROMPT, context=context, question=F.coalesce("user_input", F.lit(""))).alias("prompt"))
+
+
+def generate_answers(spark, sf_dir):
+    """An answer to every question from its contexts, by the offline generator."""
+    return generation.generate(_prompts(spark, sf_dir))
+
+
 def bm25_precision_recall(spark, sf_dir):
     """End to end: search all chunks for every hundredth question; a hit is relevant
     if it is one of the question's contexts. Precision at rank, recall and their sum."""
@@ -183,8 +213,8 @@ def bm25_precision_recall(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        dense_topk, dense_topk_filtered, mmr_topk, mmr_filtered, bm25_index, bm25_topk, hybrid_topk, rrf_fuse, interleave_fuse, rerank_cross, rerank_listwise, cascade,
-        parse_lines, self_query, contexts_joined, parent_contexts, prompt_render, bm25_precision_recall,
+        dense_topk, dense_topk_cells, dense_topk_all_cells, hybrid_vectors, dense_topk_filtered, mmr_topk, mmr_filtered, bm25_index, bm25_topk, hybrid_topk, rrf_fuse, interleave_fuse, rerank_cross, rerank_listwise, cascade,
+        parse_lines, self_query, contexts_joined, parent_contexts, prompt_render, generate_answers, bm25_precision_recall,
     )
 } | {f"expand_{k}": _expanded(k) for k in ("rewrite", "hyde", "stepback", "multiquery", "rag_fusion", "decomposition", "selfquery")}
 
@@ -251,8 +281,36 @@ def _dense_sql(condition: str = "true") -> str:
       (SELECT q.vec_id AS qid, x.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings x WHERE q.vec_id % 100 = 0 AND {condition}) QUALIFY rank0 < {K}"""
 
 
+def _mmr_sql(condition: str = "true", k: int = K, fetch: int = FETCH) -> str:
+    """The pool of each query as lists of relevance and of similarities, chosen from step by step."""
+    cosine = "list_cosine_similarity({}::DOUBLE[], {}::DOUBLE[])"
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS pos, chunk_id, score, rel, v FROM
+        (SELECT q.vec_id AS qid, x.vec_id AS chunk_id, {cosine.format("q.embedding", "x.embedding")} AS rel, round(rel, 6) AS score, x.embedding AS v FROM embeddings q, embeddings x WHERE q.vec_id % 100 = 0 AND {condition}) QUALIFY pos <= {fetch}),
+      m AS MATERIALIZED (SELECT qid, list(chunk_id ORDER BY pos) AS ids, list(score ORDER BY pos) AS scores, list(rel ORDER BY pos) AS rel FROM p GROUP BY qid),
+      s AS MATERIALIZED (SELECT qid, list(near ORDER BY pos) AS sim FROM (SELECT a.qid, a.pos, list({cosine.format("a.v", "b.v")} ORDER BY b.pos) AS near FROM p a JOIN p b USING (qid) GROUP BY ALL) GROUP BY qid),
+      r AS (SELECT qid, 0 AS step, []::BIGINT[] AS chosen FROM m
+        UNION ALL SELECT qid, step + 1, list_append(chosen, list_position(worth, list_max(worth))) FROM
+          (SELECT qid, step, chosen, list_transform(range(1, len(rel) + 1), lambda i: CASE WHEN list_contains(chosen, i) THEN -9.0 ELSE round(0.5 * rel[i] - 0.5 * coalesce(list_max(list_transform(chosen, lambda j: sim[i][j])), 0), 9) END) AS worth
+           FROM r JOIN m USING (qid) JOIN s USING (qid) WHERE step < least({k}, len(rel))))
+      SELECT qid, CAST(unnest(range(0, len(chosen))) AS INTEGER) AS rank0, ids[unnest(chosen)] AS chunk_id, scores[unnest(chosen)] AS score FROM r JOIN m USING (qid) WHERE step = least({k}, len(rel))"""
+
+
+def _hybrid_sql() -> str:
+    fetch = fusion.fetch_size(K)
+    return f"""WITH {search_sql('SELECT qid, text FROM ' + _QUESTIONS, fetch)},
+      de AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS rank0, chunk_id FROM
+        (SELECT q.vec_id AS qid, x.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings x WHERE q.vec_id IN (SELECT qid FROM q)) QUALIFY rank0 < {fetch}),
+      li AS (SELECT qid, 0 AS list_id, rank0, chunk_id FROM de UNION ALL SELECT qid, 1, rank0, chunk_id FROM ranked)
+      SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, chunk_id) - 1 AS rank0, chunk_id, score FROM (SELECT qid, chunk_id, {_RRF} FROM li GROUP BY ALL) QUALIFY rank0 < {K}"""
+
+
 SQL = {
     "dense_topk": _dense_sql(),
+    "dense_topk_all_cells": _dense_sql(),
+    "mmr_topk": _mmr_sql(),
+    "mmr_filtered": _mmr_sql("x.label = q.label"),
+    "cascade": f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, base_rank) - 1 AS rank0, base_rank, chunk_id, score FROM (SELECT qid, rank0 AS base_rank, chunk_id, score FROM ({_mmr_sql(k=20, fetch=POOL)})) QUALIFY rank0 < {K}",
+    "hybrid_vectors": _hybrid_sql(),
     "dense_topk_filtered": _dense_sql("x.label = q.label"),
     "bm25_index": f"SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM (SELECT chunk_id, unnest({_TERMS.format('page_content')}) AS term FROM {_CHUNKS}) GROUP BY term",
     "bm25_topk": f"WITH {search_sql('SELECT qid, text FROM ' + _QUESTIONS)} SELECT * FROM ranked",
@@ -268,6 +326,7 @@ SQL = {
     "contexts_joined": f"SELECT result_id, {_CONTEXT} AS context FROM rag_results",
     "parent_contexts": "SELECT chunk_id, coalesce(nullif(parent_text, ''), page_content) AS shown FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id) = 1",
     "prompt_render": f"SELECT result_id, md5('Answer the question using only the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || {_CONTEXT} || chr(10) || chr(10) || 'Question: ' || coalesce(user_input, '') || chr(10) || chr(10) || 'Format: {{}}') AS prompt FROM rag_results",
+    "generate_answers": f"SELECT result_id AS qid, coalesce(nullif({strip_sql(f"split_part({_CONTEXT}, chr(10), 1)")}, ''), 'The context does not say.') AS answer FROM rag_results",
     "bm25_precision_recall": f"""WITH {search_sql('SELECT qid, text FROM ' + _QUESTIONS)},
       g AS (SELECT qa_id AS qid, coalesce(reference_contexts, []) AS gold FROM gold_dataset WHERE qa_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY qa_id) = 1),
       j AS (SELECT qid, rank0, page_content, gold, CAST(list_contains(gold, page_content) AS INTEGER) AS v FROM ranked JOIN ch USING (chunk_id) JOIN g USING (qid)),

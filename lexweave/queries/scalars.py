@@ -134,7 +134,7 @@ QUERIES = {
     "sanitize_control": _on("text", out=lambda: T.drop_control(F.concat(F.char(F.lit(7)), F.coalesce("text", F.lit("")), F.char(F.lit(11))))),
     "truncate_preview": _on("text", preview=lambda: T.head(F.col("text"), 400), listing=lambda: T.head(F.col("text"), 500), embedded=lambda: T.head(F.col("text"), 6000)),
     "document_codes": _on("celex title", code=lambda: T.document_code(F.col("celex"), F.concat(F.col("title"), F.lit(".ODT.md")))),
-    "semantic_flags": _on("text", **{k: (lambda k=k: F.coalesce(T.flags(F.concat(F.col("text"), F.lit("\n| salvo | x |\nse define")))[k], F.lit(False))) for k in T.FLAG_PATTERNS}),
+    "semantic_flags": _on("text", **{k: (lambda k=k: F.coalesce(T.flags(F.col("text"))[k], F.lit(False))) for k in T.FLAG_PATTERNS}),
     "model_slug": _on("celex form", slug=lambda: T.model_slug(F.concat_ws("/", "celex", "form"))),
     "metric_names": _on("form", name=lambda: T.metric_name(F.concat(F.coalesce("form", F.lit("x")), F.lit("(mode=relevant)")))),
     "typed_default": _on("pages", n=lambda: T.typed(F.col("pages"), "int", -1)),
@@ -160,7 +160,7 @@ SQL = {
     "document_codes": _sql(code=r"coalesce(nullif(celex, ''), regexp_replace(coalesce(title || '.ODT.md', 'unknown'), '(?i)\.(odt|docx)?\.?md$', ''))"),
     "semantic_flags": "SELECT doc_id, ingested_at, "
     + ", ".join(f"coalesce(len(regexp_extract_all(t, '{p}')) >= 3, false) AS {k}" if k == "has_steps" else f"coalesce(regexp_matches(t, '{p}'), false) AS {k}" for k, p in T.FLAG_PATTERNS.items())
-    + " FROM (SELECT doc_id, ingested_at, text || chr(10) || '| salvo | x |' || chr(10) || 'se define' AS t FROM corpus_clean)",
+    + " FROM (SELECT doc_id, ingested_at, text AS t FROM corpus_clean)",
     "model_slug": _sql(slug="lower(regexp_replace(list_extract(string_split(concat_ws('/', celex, form), '/'), -1), '[^a-zA-Z0-9]+', '', 'g'))"),
     "metric_names": _sql(name="trim(regexp_replace(coalesce(form, 'x') || '(mode=relevant)', '[^0-9A-Za-z_./ -]', '_', 'g'), '_')"),
     "typed_default": _sql(n=f"CASE WHEN regexp_full_match(trim(pages), '[+-]?[0-9]+') THEN CAST(trim(pages) AS INTEGER) ELSE -1 END"),

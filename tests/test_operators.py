@@ -10,8 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexweave.operators import bm25, chunking, corpus, dense, fusion, graph, metrics, selection
-from lexweave.operators.embedding import MODELS, embed, hashed, provider, with_retries
+from lexweave.operators import bm25, chunking, corpus, dense, fusion, generation, graph, metrics, selection
+from lexweave.operators.embedding import MODELS, PROVIDERS, Limited, embed, hashed, provider, with_retries
 from lexweave.plans import variants
 from lexweave.queries import plans
 from lexweave.sources import io
@@ -86,6 +86,23 @@ def test_dense_topk_and_mmr_against_brute_force(spark, monkeypatch):
     assert dense.topk(q.drop("label"), index.drop("label").filter("false"), 3).count() == 0
 
 
+def test_cells_find_what_exact_search_finds(spark, monkeypatch):
+    monkeypatch.setattr(dense, "INDEX_BLOCK", 150)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16))
+    v = np.concatenate([centres[rng.integers(0, 30, 1400)] + rng.normal(size=(1400, 16)) * 0.6, np.tile(centres[:1], (700, 1)) + rng.normal(size=(700, 16)) * 0.01])  # a hot cell
+    index = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(9999, None)], "chunk_id bigint, embedding array<double>")
+    q = index.filter("chunk_id % 40 = 0").withColumnRenamed("chunk_id", "qid")
+    cells = dense.build_cells(index)
+    exact = {(r.qid, r.chunk_id) for r in dense.topk(q, index, 10).collect()}
+    near = {(r.qid, r.chunk_id) for r in dense.topk_cells(q, cells, 10).collect()}
+    assert len(exact) == len(near) and len(exact & near) >= 0.95 * len(exact)
+    assert {(r.qid, r.chunk_id) for r in dense.topk_cells(q, cells, 10, probes=len(cells.centroids)).collect()} == exact
+    assert cells.blocks.count() > len(cells.centroids) - 10 and cells.blocks.groupBy("cell").count().filter("count > 3").count() >= 1
+    empty = dense.build_cells(index.filter("false"))
+    assert dense.topk_cells(q, empty, 3, probes=1).count() == 0
+
+
 def test_bm25_gives_k_hits(spark):
     chunks = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "a a c", None, "", "d", "a e f"])], "chunk_id bigint, page_content string")
     q = spark.createDataFrame([(1, "A zz"), (2, "nothing"), (3, None)], "qid bigint, text string")
@@ -134,7 +151,7 @@ def test_variants_build_their_index(spark, sf):
         sizes[v] = len(got)
         one = c.embed(spark.createDataFrame([(1, "fees of a map")], "qid bigint, text string"), "qid", "text").first().embedding
         prefix = MODELS[variants.resolved(v, *plans.WINNERS)["embedding"]["model"]][2]
-        assert np.allclose(one, hashed([prefix + "fees of a map"])[0])
+        assert np.allclose(one, provider(variants.resolved(v, *plans.WINNERS)["embedding"]["model"])()([prefix + "fees of a map"])[0])
     assert len({sizes["exp0"], sizes["exp2__structural_pc"], sizes["expSOTA"]}) == 3
     with pytest.raises(NotImplementedError):
         variants.chunk_config({"strategy": "semantic", "breakpoint_type": "gradient"})
@@ -229,9 +246,20 @@ def test_corpus(spark):
 def test_embedding(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (2, None, "y"), (3, "", "z")], "id bigint, text string, key string")
     got = {r.id: np.array(r.embedding) for r in embed(df, "id", "text", "BAAI/bge-m3").collect()}
-    assert np.allclose(got[1], hashed(["a b"])[0]) and not got[2].any() and not got[3].any()
+    assert np.allclose(got[1], provider("BAAI/bge-m3")()(["a b"])[0]) and not got[2].any() and not got[3].any()
     with pytest.raises(NotImplementedError):
         provider("other")
+    vectors = [provider(m)()(["fees of a map"])[0] for m in (*MODELS, "hashed")]
+    assert all(not np.allclose(a, b) for a, b in itertools.combinations(vectors, 2)) and np.allclose(vectors[-1], hashed(["fees of a map"])[0])
+    made = []
+
+    def making():
+        made.append(1)
+        return hashed
+
+    PROVIDERS["counted"] = making
+    many = spark.range(10).select("id", F.col("id").cast("string").alias("text")).coalesce(1)
+    assert embed(many, "id", "text", "counted", batch=1, reload=3, pause=0.001).count() == 10
     calls = []
 
     def flaky():
@@ -241,6 +269,15 @@ def test_embedding(spark):
         return 7
 
     assert with_retries(flaky, wait=0) == 7
+    with pytest.raises(Limited):
+        with_retries(lambda: (_ for _ in ()).throw(Limited()), tries=2, wait=0)
+
+
+def test_generation(spark):
+    df = spark.createDataFrame([(1, "Context:\nA b.\nmore\n\nQuestion: q"), (2, "Context:\n\n\nQuestion: q"), (3, None)], "qid bigint, prompt string")
+    assert {r.qid: r.answer for r in generation.generate(df).collect()} == {1: "A b.", 2: "The context does not say.", 3: None}
+    with pytest.raises(NotImplementedError):
+        generation.generate(df, "other")
 
 
 def test_sources(spark, tmp_path):
