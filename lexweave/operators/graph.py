@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -100,6 +101,25 @@ def overlap_edges(nodes_: DataFrame, least: float = 0.01) -> DataFrame:
     return shared.select("a", "b", F.round(F.col("shared") / F.least("na", "nb"), 6).alias("overlap")).filter(F.col("overlap") >= least)
 
 
+def themes(text: Column, most: int = 3) -> Column:
+    """The most frequent words of seven letters and more, ties by alphabet: the stand-in for a model's themes."""
+    words = F.array_sort(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]{7,}"), F.lit(0)))
+    start = F.struct(F.array().cast("array<struct<n:int,w:string>>").alias("done"), F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"))
+
+    def step(acc: Column, w: Column) -> Column:
+        same = acc["w"] == w
+        closed = F.when(acc["w"].isNull() | same, acc["done"]).otherwise(F.array_append(acc["done"], F.struct((-acc["n"]).alias("n"), acc["w"].alias("w"))))
+        return F.struct(closed.alias("done"), w.alias("w"), F.when(same, acc["n"] + 1).otherwise(1).alias("n"))
+
+    counted = F.aggregate(words, start, step, lambda a: F.when(a["w"].isNull(), a["done"]).otherwise(F.array_append(a["done"], F.struct((-a["n"]).alias("n"), a["w"].alias("w")))))
+    return F.transform(F.slice(F.array_sort(counted), 1, most), lambda x: x["w"])
+
+
+def telling(nodes_: DataFrame, least_words: int = 100, least_entities: int = 3) -> DataFrame:
+    """Nodes that questions can be asked about: long enough, with entities enough. The stand-in for a model's grade."""
+    return nodes_.filter((F.col("words") >= least_words) & (F.size("entities") >= least_entities))
+
+
 def scenario_plan(weights: dict[str, float], size: int) -> dict[str, int]:
     """How many questions of each kind: rounded down, what is left to the largest remainders."""
     out = {k: int(w * size) for k, w in weights.items()}
@@ -108,6 +128,35 @@ def scenario_plan(weights: dict[str, float], size: int) -> dict[str, int]:
     return out
 
 
+#: Kinds of questions and their shares.
+SCENARIOS = {"single_hop": 0.5, "multi_hop_abstract": 0.25, "multi_hop_specific": 0.25}
+#: Who asks, in turn.
+PERSONAS = ("practitioner", "student", "rights holder")
+
+
+def scenarios(nodes_: DataFrame, edges: DataFrame, size: int, weights: dict[str, float] = SCENARIOS, personas: tuple[str, ...] = PERSONAS) -> DataFrame:
+    """``(kind, place, persona, node_ids)``: what each question of a set of ``size`` is about.
+
+    Single-hop questions take one node, least hash first; the others an edge,
+    by overlap (abstract) or by shared hash order (specific). An edge of which
+    only one end tells enough keeps both (``hop_nodes``). Kinds that the graph
+    has too little for give fewer. Nodes and edges are those of a bounded sample.
+    """
+    plan = scenario_plan(weights, size)
+    kept = nodes_.select("node_id")
+    hash_of = lambda *c: F.md5(F.concat_ws("|", *[F.col(x).cast("string") for x in c]))
+    single = nodes_.select(F.lit("single_hop").alias("kind"), F.array("node_id").alias("node_ids"), hash_of("node_id").alias("by"))
+    ends = edges.join(kept.select(F.col("node_id").alias("a"), F.lit(True).alias("has_a")), "a", "left").join(kept.select(F.col("node_id").alias("b"), F.lit(True).alias("has_b")), "b", "left").filter("has_a or has_b")
+    chosen = F.filter(F.array(F.when(F.col("has_a"), F.col("a")), F.when(F.col("has_b"), F.col("b"))), lambda x: x.isNotNull())
+    both = ends.withColumn("node_ids", hop_nodes(chosen, F.array("a", "b")))
+    abstract = both.select(F.lit("multi_hop_abstract").alias("kind"), "node_ids", F.format_string("%.6f|%s", 1 - F.col("overlap"), hash_of("a", "b")).alias("by"))
+    specific = both.select(F.lit("multi_hop_specific").alias("kind"), "node_ids", hash_of("a", "b").alias("by"))
+    every = single.unionByName(abstract).unionByName(specific)
+    quota = F.coalesce(F.create_map(*[x for k, n in plan.items() for x in (F.lit(k), F.lit(n))])[F.col("kind")], F.lit(0))
+    placed = every.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy("by"))).filter((F.col("place") <= max(plan.values())) & (F.col("place") <= quota))
+    return placed.select("kind", "place", F.element_at(F.array(*map(F.lit, personas)), (F.col("place") - 1) % len(personas) + 1).alias("persona"), "node_ids")
+
+
 def hop_nodes(chosen: Column, original: Column) -> Column:
     """The nodes of a multi-hop question; the original ones where fewer than two are left."""
     return F.when(F.size(chosen) < 2, original).otherwise(chosen)

@@ -39,6 +39,23 @@ def answer_relevancy(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("qid").agg(F.round(F.avg(cosine) * F.min(F.when(F.col("evasive"), 0.0).otherwise(1.0)), 6).alias("answer_relevancy"))
 
 
+def factual_correctness(claims: DataFrame) -> DataFrame:
+    """``(qid, side, v)`` to the F1 of claims: those of the response (side 0) that the
+    reference has are hits, the others false; those of the reference (side 1) that
+    the response lacks are missed. 0 without a hit; a question without claims has no row."""
+    count = lambda c: F.count_if(c)
+    hit, false, missed = count((F.col("side") == 0) & F.col("v")), count((F.col("side") == 0) & ~F.col("v")), count((F.col("side") == 1) & ~F.col("v"))
+    return claims.groupBy("qid").agg(F.round(F.coalesce(2 * hit / F.nullif(2 * hit + false + missed, F.lit(0)), F.lit(0.0)), 6).alias("factual_correctness"))
+
+
+def word_counts_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the word counts of two lists of words; 0 where one is empty. The stand-in for an embedder's similarity."""
+    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    dot = F.aggregate(F.array_intersect(a, b), F.lit(0.0), lambda s, w: s + times(a, w) * times(b, w))
+    square = lambda x: F.aggregate(F.array_distinct(x), F.lit(0.0), lambda s, w: s + times(x, w) * times(x, w))
+    return F.coalesce(dot / F.nullif(F.sqrt(square(a) * square(b)), F.lit(0.0)), F.lit(0.0))
+
+
 def mean_skipping_nan(c: str) -> Column:
     return F.avg(F.nanvl(F.col(c), F.lit(None).cast("double")))
 

@@ -118,6 +118,18 @@ def metric_answer_relevancy(spark, sf_dir):
     return metrics.answer_relevancy(q.join(e, "vec_id").select("qid", "q", F.col("embedding").alias("v"), "evasive"))
 
 
+def metric_factual_correctness(spark, sf_dir):
+    r = table(spark, sf_dir, "rag_results", "result_id", "response", "reference").select(F.col("result_id").alias("qid"), F.coalesce("response", F.lit("")).alias("response"), F.coalesce("reference", F.lit("")).alias("reference"))
+    side = lambda i, of, within: r.select("qid", F.lit(i).alias("side"), F.explode(_claims(F.col(of))).alias("s"), within).select("qid", "side", F.contains(F.col(within), F.col("s")).alias("v"))
+    return metrics.factual_correctness(side(0, "response", "reference").unionByName(side(1, "reference", "response")))
+
+
+def metric_semantic_similarity(spark, sf_dir):
+    r = table(spark, sf_dir, "rag_results", "result_id", "response", "reference")
+    words = lambda c: T.words(F.lower(F.coalesce(c, F.lit(""))))
+    return r.select(F.col("result_id").alias("qid"), F.round(metrics.word_counts_cosine(words("response"), words("reference")), 6).alias("semantic_similarity"))
+
+
 def metrics_mean(spark, sf_dir):
     """Means by variant that leave NaN out; an answer without claims has NaN."""
     f, p = metric_faithfulness(spark, sf_dir), metric_context_precision(spark, sf_dir)
@@ -173,9 +185,30 @@ def progression(spark, sf_dir):
     return selection.progression(spark.createDataFrame(STEPS, "step int, label string, p_plus_r double"))
 
 
+# The seven published metrics of the chain of decisions.
+DECISION_METRICS = ["p_plus_r", "context_recall", "context_precision", "context_entity_recall", "faithfulness", "answer_relevancy", "noise_sensitivity"]
+DECISIONS = [
+    (0, "baseline", 0.7564, 0.4527, 0.3037, 0.3237, 0.8333, 0.4226, 0.3900),
+    (1, "embedding bge-m3", 0.9987, 0.5830, 0.4157, 0.3838, 0.8808, 0.5614, 0.4655),
+    (2, "chunking fixed 256", 0.9987, 0.5830, 0.4157, 0.3838, 0.8808, 0.5614, 0.4655),
+    (3, "retrieval MMR k10", 1.0935, 0.7107, 0.3829, 0.3766, 0.8985, 0.5898, 0.4294),
+    (4, "expansion none", 1.0935, 0.7107, 0.3829, 0.3766, 0.8985, 0.5898, 0.4294),
+    (5, "cross-encoder rerank k10", 1.2029, 0.7563, 0.4466, 0.3894, 0.9505, 0.6502, 0.4082),
+]
+
+
 def metrics_by_decision(spark, sf_dir):
-    steps = selection.best(_runs(spark)).select(F.col("declared").alias("step"), F.col("variant").alias("label"), "context_precision", "context_recall")
-    return selection.by_decision(steps, ["context_precision", "context_recall"])
+    """All seven metrics of every decision, with the change from the one before."""
+    steps = spark.createDataFrame(DECISIONS, "step int, label string, " + ", ".join(f"{m} double" for m in DECISION_METRICS))
+    return selection.by_decision(steps, DECISION_METRICS)
+
+
+def select_best_variant(spark, sf_dir):
+    """The variant of rag_results with the best precision plus recall, by its own rows."""
+    p, r = metric_context_precision(spark, sf_dir), metric_context_recall(spark, sf_dir)
+    runs = table(spark, sf_dir, "rag_results", "result_id", "variant").filter("variant is not null").withColumnRenamed("result_id", "qid")
+    means = runs.join(p, "qid", "left").join(r, "qid", "left").groupBy("variant").agg(F.round(F.avg("context_precision"), 6).alias("context_precision"), F.round(F.avg("context_recall"), 6).alias("context_recall"))
+    return selection.best(means.filter("context_precision is not null and context_recall is not null").withColumns({"stage": F.lit("all"), "declared": F.col("variant")})).select("variant", "p_plus_r")
 
 
 def _sampled(spark, sf_dir, *more):
@@ -188,6 +221,22 @@ def kg_nodes(spark, sf_dir):
     return graph.nodes(_sampled(spark, sf_dir)).select("node_id", "kind", "words", F.size("entities").alias("n_entities"))
 
 
+def _filtered(spark, sf_dir):
+    return graph.telling(graph.nodes(_sampled(spark, sf_dir)))
+
+
+def kg_filtered_nodes(spark, sf_dir):
+    """Nodes that tell enough, with their themes."""
+    docs = _sampled(spark, sf_dir)
+    kept = graph.telling(graph.nodes(docs)).select("node_id", "words")
+    return docs.select(F.col("doc_id").alias("node_id"), F.array_join(graph.themes(F.coalesce("text", F.lit(""))), ",").alias("themes")).join(kept, "node_id")
+
+
+def kg_scenarios(spark, sf_dir):
+    """A question set of 50 over the sample: nodes that tell enough, edges of all."""
+    return graph.scenarios(settle(_filtered(spark, sf_dir)), settle(kg_edges(spark, sf_dir)), 50)
+
+
 def kg_edges(spark, sf_dir):
     return graph.overlap_edges(graph.nodes(_sampled(spark, sf_dir)))
 
@@ -222,8 +271,8 @@ def mapped_styles(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        metric_context_precision, metric_context_recall, metric_entity_recall, metric_faithfulness, metric_noise_sensitivity, metric_answer_relevancy, metrics_mean, prototype_summary, merge_results, summary_upsert, run_log,
-        select_best, select_best_retrieval, master_table, progression, metrics_by_decision, kg_nodes, kg_edges, kg_branch, kg_branch_nodes, kg_branch_edges, gold_complete, mapped_styles,
+        metric_context_precision, metric_context_recall, metric_entity_recall, metric_faithfulness, metric_noise_sensitivity, metric_answer_relevancy, metric_factual_correctness, metric_semantic_similarity, metrics_mean, prototype_summary, merge_results, summary_upsert, run_log,
+        select_best, select_best_retrieval, master_table, progression, metrics_by_decision, select_best_variant, kg_nodes, kg_filtered_nodes, kg_scenarios, kg_edges, kg_branch, kg_branch_nodes, kg_branch_edges, gold_complete, mapped_styles,
     )
 } | {f"select_best_{n}": _best_of(s) for n, s in (("embedding", "embedding"), ("chunking", "chunking"), ("rerank", "rerank"), ("query_transform", "expansion"))}
 
@@ -248,6 +297,9 @@ _BEST = lambda where, keep: f"SELECT {keep} FROM {_RUNS} WHERE {where} QUALIFY r
 _SAMPLE = f"(SELECT doc_id FROM (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || doc_id), doc_id) AS pick FROM {_STRATA} WHERE stratum IS NOT NULL) WHERE pick <= {_QUOTA})"
 _NODES = f"(SELECT doc_id AS node_id, {words_sql("coalesce(text, '')")} AS words, {_ENT("coalesce(text, '')")} AS e FROM {DOCS} WHERE doc_id IN {_SAMPLE})"
 
+_RECALL = f"(SELECT qid, round(avg(CAST({_SAID} AS DOUBLE)), 6) AS context_recall FROM (SELECT qid, retrieved_contexts, unnest({_claims_sql('reference')}) AS s FROM {_J}) GROUP BY qid)"
+_DECISIONS = ", ".join(f"({i}, '{n}', " + ", ".join(f"{x}::DOUBLE" for x in xs) + ")" for i, n, *xs in DECISIONS)
+
 SQL = {
     "metric_context_precision": f"SELECT * FROM {_PRECISION}",
     "metric_context_recall": f"SELECT qid, round(avg(CAST({_SAID} AS DOUBLE)), 6) AS context_recall FROM (SELECT qid, retrieved_contexts, unnest({_claims_sql('reference')}) AS s FROM {_J}) GROUP BY qid",
@@ -265,7 +317,26 @@ SQL = {
     "master_table": f"SELECT variant, p_plus_r, row_number() OVER (ORDER BY p_plus_r DESC, declared) AS place, declared FROM {_RUNS}",
     "progression": f"SELECT step, label, p_plus_r, round(coalesce(p_plus_r - lag(p_plus_r) OVER (ORDER BY step), 0), 4) AS gain FROM (VALUES {', '.join(f"({i}, '{n}', {x}::DOUBLE)" for i, n, x in STEPS)}) t(step, label, p_plus_r)",
     "metrics_by_decision": f"""SELECT step, label, metric, value, round(coalesce(value - lag(value) OVER (PARTITION BY metric ORDER BY step), 0), 4) AS change FROM (
-        SELECT declared AS step, variant AS label, unnest(['context_precision', 'context_recall']) AS metric, unnest([context_precision, context_recall]) AS value FROM ({_BEST("true", "*")}))""",
+        SELECT step, label, unnest({DECISION_METRICS}) AS metric, unnest([{", ".join(DECISION_METRICS)}]) AS value FROM (VALUES {_DECISIONS}) t(step, label, {", ".join(DECISION_METRICS)}))""",
+    "select_best_variant": f"""SELECT variant, round(p + r, 9) AS p_plus_r FROM (SELECT variant, round(avg(context_precision), 6) AS p, round(avg(context_recall), 6) AS r FROM (SELECT result_id AS qid, variant FROM rag_results WHERE variant IS NOT NULL)
+        LEFT JOIN {_PRECISION} USING (qid) LEFT JOIN {_RECALL} USING (qid) GROUP BY variant) WHERE p IS NOT NULL AND r IS NOT NULL ORDER BY p_plus_r DESC, variant LIMIT 1""",
+    "metric_factual_correctness": f"""SELECT qid, round(coalesce(2 * hit / nullif(2 * hit + bad + missed, 0), 0), 6) AS factual_correctness FROM (SELECT qid, count(*) FILTER (side = 0 AND v) AS hit, count(*) FILTER (side = 0 AND NOT v) AS bad, count(*) FILTER (side = 1 AND NOT v) AS missed FROM (
+        SELECT qid, 0 AS side, contains(ref, s) AS v FROM (SELECT result_id AS qid, coalesce(reference, '') AS ref, unnest({_claims_sql('response')}) AS s FROM rag_results)
+        UNION ALL SELECT qid, 1, contains(res, s) FROM (SELECT result_id AS qid, coalesce(response, '') AS res, unnest({_claims_sql('reference')}) AS s FROM rag_results)) GROUP BY qid)""",
+    "metric_semantic_similarity": f"""WITH w AS (SELECT result_id AS qid, side, w, count(*) AS n FROM (SELECT result_id, 0 AS side, unnest({_TERMS('response')}) AS w FROM rag_results UNION ALL SELECT result_id, 1, unnest({_TERMS('reference')}) FROM rag_results) GROUP BY ALL),
+        d AS (SELECT a.qid, sum(a.n * b.n) AS dot FROM w a JOIN w b ON a.qid = b.qid AND a.w = b.w AND a.side = 0 AND b.side = 1 GROUP BY 1),
+        q AS (SELECT qid, sum(n * n) FILTER (side = 0) AS x, sum(n * n) FILTER (side = 1) AS y FROM w GROUP BY 1)
+        SELECT result_id AS qid, round(coalesce(dot / nullif(sqrt(CAST(x AS DOUBLE) * y), 0), 0), 6) AS semantic_similarity FROM rag_results LEFT JOIN d ON d.qid = result_id LEFT JOIN q ON q.qid = result_id""",
+    "kg_filtered_nodes": f"""WITH k AS MATERIALIZED (SELECT node_id, words FROM {_NODES} WHERE words >= 100 AND len(e) >= 3),
+        c AS (SELECT doc_id AS node_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{7,}}')) AS w FROM {DOCS} WHERE doc_id IN (SELECT node_id FROM k)) GROUP BY ALL)
+        SELECT k.node_id, k.words, coalesce(t.themes, '') AS themes FROM k LEFT JOIN (SELECT node_id, string_agg(w, ',' ORDER BY n DESC, w) AS themes FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY n DESC, w) <= 3) GROUP BY 1) t ON t.node_id = k.node_id""",
+    "kg_scenarios": f"""WITH n AS MATERIALIZED (SELECT * FROM {_NODES}), k AS (SELECT node_id FROM n WHERE words >= 100 AND len(e) >= 3),
+        g AS MATERIALIZED (SELECT a.node_id AS a, b.node_id AS b, round(len(list_intersect(a.e, b.e)) / least(len(a.e), len(b.e)), 6) AS overlap FROM n a JOIN n b ON a.node_id < b.node_id WHERE len(list_intersect(a.e, b.e)) > 0),
+        m AS (SELECT * FROM g WHERE overlap >= 0.01 AND (a IN (SELECT node_id FROM k) OR b IN (SELECT node_id FROM k))),
+        s AS (SELECT 'single_hop' AS kind, [node_id] AS node_ids, md5(node_id::VARCHAR) AS by_, 25 AS quota FROM k
+          UNION ALL SELECT 'multi_hop_abstract', [a, b], printf('%.6f', 1 - overlap) || '|' || md5(a::VARCHAR || '|' || b::VARCHAR), 13 FROM m
+          UNION ALL SELECT 'multi_hop_specific', [a, b], md5(a::VARCHAR || '|' || b::VARCHAR), 12 FROM m)
+        SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY by_) AS place, (['practitioner', 'student', 'rights holder'])[(place - 1) % 3 + 1] AS persona, node_ids FROM s QUALIFY place <= quota""",
     "kg_nodes": f"SELECT node_id, 'DOCUMENT' AS kind, words, len(e) AS n_entities FROM {_NODES}",
     "kg_edges": f"SELECT a.node_id AS a, b.node_id AS b, round(len(list_intersect(a.e, b.e)) / least(len(a.e), len(b.e)), 6) AS overlap FROM {_NODES} a JOIN {_NODES} b ON a.node_id < b.node_id WHERE len(list_intersect(a.e, b.e)) > 0 AND round(len(list_intersect(a.e, b.e)) / least(len(a.e), len(b.e)), 6) >= 0.01",
     "kg_branch": f"SELECT round(avg(CAST(words > 500 AS INTEGER)), 6) AS long_share, avg(CAST(words > 500 AS INTEGER)) >= 0.25 AS by_headline FROM {_NODES}",
