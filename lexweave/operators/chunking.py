@@ -263,13 +263,16 @@ def _pieces(text: str, units: list[str] | None, cfg: ChunkConfig) -> Iterator[di
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("page_content", pa.string()), ("parent_text", pa.string()), ("section_title", pa.string()), ("section_level", pa.int32()), ("breadcrumb", pa.string())])
 _DDL = "doc_id bigint, chunk_index int, page_content string, parent_text string, section_title string, section_level int, breadcrumb string"
+#: Strategies of the caller: a text and its configuration to chunks ``{page_content, ...}``.
+SPLITTERS: dict[str, Callable[[str, ChunkConfig], Iterable[dict]]] = {}
 STRATEGIES = ("fixed_size", "recursive", "sentence", "structural", "semantic", "markdown", "section")
 
 
 def chunk(docs: DataFrame, cfg: ChunkConfig, min_words: int = 0) -> DataFrame:
     """Chunks of ``(doc_id, form, text)``; pieces of fewer than ``min_words`` words
     go before chunks are numbered. Null and empty texts have no chunk."""
-    if cfg.strategy not in STRATEGIES:
+    own = SPLITTERS.get(cfg.strategy)
+    if own is None and cfg.strategy not in STRATEGIES:
         raise NotImplementedError(f"chunking strategy {cfg.strategy!r}")
     text = F.coalesce("text", F.lit(""))
     if cfg.strategy == "sentence":
@@ -283,7 +286,7 @@ def chunk(docs: DataFrame, cfg: ChunkConfig, min_words: int = 0) -> DataFrame:
             out = []
             for k, t, u in zip(*batch.columns, strict=True):
                 i = 0
-                for piece in _pieces(t.as_py(), u.as_py(), cfg):
+                for piece in own(t.as_py(), cfg) if own else _pieces(t.as_py(), u.as_py(), cfg):
                     if len(_RUN.findall(piece["page_content"])) >= min_words:
                         out.append({"doc_id": k.as_py(), "chunk_index": i, **piece})
                         i += 1

@@ -60,6 +60,10 @@ def rerank(candidates: DataFrame, k: int, score: Column) -> DataFrame:
     return scored.withColumn("rank0", F.row_number().over(w) - 1).filter(F.col("rank0") < k)
 
 
+#: Pair scorers by name: a question and a passage to a score, as expressions.
+SCORERS: dict[str, Callable[[Column, Column], Column]] = {"overlap": overlap_score}
+
+
 def cross_encoder(score: Callable[[list[str], list[str]], list[float]]) -> Callable[[Column, Column], Column]:
     """A pair scorer as an Arrow-batched expression; the scorer's model is made in its worker."""
 

@@ -88,7 +88,7 @@ class Corpus:
     vectors: DataFrame
     embed: object
     answers: object
-    score: object = fusion.overlap_score
+    score: str = "overlap"  # one of fusion.SCORERS
     postings: bm25.Index | None = None  # built on the first search that needs it
 
     def sparse(self) -> bm25.Index:
@@ -147,7 +147,7 @@ def plan(c: Corpus, queries: DataFrame, cfg: dict) -> DataFrame:
     candidates = hits.join(queries.select("qid", F.col("text").alias("question")), "qid").join(c.chunks.select("chunk_id", "page_content"), "chunk_id")
     if again["type"] == "llm":
         return fusion.listwise(candidates, c.answers(queries, "rank").select("qid", "answer"), again["top_k"]).select("qid", "rank0", "chunk_id")
-    score: Column = c.score(F.col("question"), F.col("page_content"))
+    score: Column = fusion.SCORERS[c.score](F.col("question"), F.col("page_content"))
     return fusion.rerank(candidates, again["top_k"], score).select("qid", "rank0", "chunk_id")
 
 

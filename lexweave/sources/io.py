@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.embedding import embed
+from ..operators.embedding import embed, provider, with_retries
 from ..operators.metrics import upsert
 
 RAW_SCHEMA = "content string, metadata struct<celex: string, title: string, form: string, author: string, date: string, latest: string, pages: string, source: string>"
@@ -82,24 +82,40 @@ def variant_path(base: str, experiment: str, what: str) -> str:
     return f"{base}/{experiment}/{what}"
 
 
-def build_index(chunks: DataFrame, base: str, cfg: dict, key: str = "chunk_id", text: str = "page_content") -> DataFrame:
+def probe(model: str) -> int:
+    """How long a model's vectors are, told by embedding one word."""
+    return len(provider(model)()(["probe"])[0])
+
+
+def build_index(chunks: DataFrame, base: str, cfg: dict, key: str = "chunk_id", text: str = "page_content", batches: int = 1) -> DataFrame:
     """The embedded chunks of a configuration, built once.
 
     An index is reused if its marker is there and its rows are as many as the
-    chunks; a partial one is built again. Column pruning applies on reading.
+    chunks. Otherwise it is written in ``batches`` (by hash of the key), each
+    tried again after transient failures; batches that an earlier attempt
+    completed for the same number of chunks stay. The vector length is probed
+    before anything is written, and a vector of another length fails its batch.
     """
     spark = chunks.sparkSession
-    path = f"{base}/index-{config_hash(cfg)}"
-    if complete(spark, path, chunks.count()):
-        return spark.read.parquet(path)
-    model = (cfg.get("embedding") or {}).get("model", "hashed")
-    vectors = embed(chunks, key, text, model, batch=(cfg.get("embedding") or {}).get("batch_size"))
-    chunks.join(vectors, key).write.mode("overwrite").parquet(path)
-    built = spark.read.parquet(path)
-    sizes = built.agg(F.count_distinct(F.size("embedding"))).first()[0]
-    if sizes > 1:
-        raise ValueError("embeddings of different length in one index")
-    return built
+    path, n = f"{base}/index-{config_hash(cfg)}", chunks.count()
+    if complete(spark, path, n):
+        return spark.read.parquet(path).drop("batch")
+    settings = cfg.get("embedding") or {}
+    model = settings.get("model", "hashed")
+    length = probe(model)
+    for b in range(batches):
+        part = chunks.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == b)
+        if batches > 1 and complete(spark, f"{path}/batch={b}", part.count()):
+            continue
+        vectors = embed(part, key, text, model, batch=settings.get("batch_size"))
+        right = F.when(F.size("embedding") == length, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector of another length than {length}")).cast("array<double>"))
+        rows = part.join(vectors, key).withColumn("embedding", right)
+        with_retries(lambda rows=rows, b=b: rows.write.mode("overwrite").parquet(path if batches == 1 else f"{path}/batch={b}"))
+    if batches > 1:
+        jvm = spark._jvm
+        done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        done.getFileSystem(spark._jsc.hadoopConfiguration()).create(done, True).close()
+    return spark.read.parquet(path).drop("batch")
 
 
 def complete(spark: SparkSession, path: str, rows: int) -> bool:

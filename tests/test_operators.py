@@ -311,6 +311,38 @@ def test_sources(spark, tmp_path):
     assert io.build_index(chunks.limit(1), p, {"x": 1}).count() == 1
 
 
+def test_index_in_batches(spark, tmp_path):
+    chunks = spark.range(40).select(F.col("id").alias("chunk_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("page_content"))
+    fails = [2]
+
+    def unsteady(texts):
+        if fails[0] and len(texts) > 1:
+            fails[0] -= 1
+            raise TimeoutError
+        return hashed(texts)
+
+    PROVIDERS["unsteady"] = lambda: unsteady
+    cfg = {"embedding": {"model": "unsteady", "batch_size": 4}}
+    assert io.probe("unsteady") == 64
+    got = io.build_index(chunks, str(tmp_path), cfg, batches=3)
+    assert got.columns == ["chunk_id", "page_content", "embedding"] and got.count() == got.select("chunk_id").distinct().count() == 40
+    path = tmp_path / f"index-{io.config_hash(cfg)}"
+    files = {str(f) for f in path.rglob("*.parquet")}
+    (path / "_SUCCESS").unlink()  # an attempt that ended before its marker: complete batches stay
+    assert io.build_index(chunks, str(tmp_path), cfg, batches=3).count() == 40 and files == {str(f) for f in path.rglob("*.parquet")}
+    PROVIDERS["uneven"] = lambda: lambda texts: np.ones((len(texts), 3 if texts == ["probe"] else 2))
+    with pytest.raises(Exception, match="another length"):
+        io.build_index(chunks, str(tmp_path), {"embedding": {"model": "uneven"}})
+
+
+def test_splitters_and_scorers_of_the_caller(spark):
+    chunking.SPLITTERS["by_bar"] = lambda text, cfg: ({"page_content": p} for p in text.split("|") if p)
+    df = spark.createDataFrame([(1, "", "a|b||c"), (2, "", None)], "doc_id bigint, form string, text string")
+    assert [r.page_content for r in chunking.chunk(df, C("by_bar")).orderBy("chunk_index").collect()] == ["a", "b", "c"]
+    del chunking.SPLITTERS["by_bar"]
+    assert set(fusion.SCORERS) == {"overlap"}
+
+
 def test_streaming(spark, tmp_path):
     from lexweave.streaming import ingest
 
