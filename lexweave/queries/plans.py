@@ -13,7 +13,7 @@ from ..operators.embedding import embed
 from ..operators.fusion import SPEC_FILTERS
 from ..plans import variants as V
 from ..session import once, settle, table
-from .retrieval import PROMPT, _questions
+from .retrieval import _QUESTIONS, PROMPT, _questions, search_sql
 
 WINNERS = ("BAAI/bge-m3", {"strategy": "fixed_size", "chunk_size": 256, "chunk_overlap": 25}, {"strategy": "mmr", "top_k": 10, "fetch_k": 30})
 
@@ -117,4 +117,4 @@ expSOTA|true|
 SQL = {
     "variant_registry": f"""SELECT f[1] AS variant, CAST(f[2] AS BOOLEAN) AS builds_index, f[3] AS inherits, CAST(declared AS INTEGER) AS declared FROM
         (SELECT string_split(l, '|') AS f, declared FROM (SELECT unnest(ls) AS l, unnest(range(0, len(ls))) AS declared FROM (SELECT string_split(trim('{REGISTRY_SQL}', chr(10)), chr(10)) AS ls)))""",
-}
+} | {f"run_exp3__bm25_k{k}": f"WITH {search_sql('SELECT qid, text FROM ' + _QUESTIONS, k)} SELECT qid, rank0, chunk_id FROM ranked" for k in (5, 10)}
