@@ -71,6 +71,9 @@ def words_estimate(c: Column) -> Column:
     return (F.char_length(c) / 5).cast("int")
 
 
+# The patterns of the cleaning steps below, which define what is cleaned.
+
+
 def drop_header(c: Column) -> Column:
     """From the first line that looks like content; unchanged where none does."""
     lines = F.split(c, "\n", -1)

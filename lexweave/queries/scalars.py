@@ -61,6 +61,9 @@ def _chain(x: str, *steps: tuple[str, str]) -> str:
     return x
 
 
+# The same patterns as those of the cleaning steps, in SQL.
+
+
 def footnotes_sql(x: str) -> str:
     return _chain(x, (r"\[\([*\d]+\)\]\(#nt[rc][^)]*\)", ""))
 
