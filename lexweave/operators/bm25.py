@@ -87,7 +87,7 @@ def search(queries: DataFrame, index: Index | DataFrame, k: int, query_key: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # a block at a time
                 ids, starts, at, tf, dl = (np.frombuffer(r[c], t) for c, t in (("ids", np.int64), ("starts", np.int32), ("at", np.int32), ("tf", np.int32), ("dl", np.int32)))
                 gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[at] / built_avgdl))
                 place = {t: i for i, t in enumerate(r["terms"])}

@@ -60,7 +60,7 @@ def topk(queries: DataFrame, index: DataFrame, k: int, query_key: str = "qid", k
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # a block at a time
                 q = np.frombuffer(r["q_m"], np.float64).reshape(-1, r["q_dim"])
                 x = np.frombuffer(r["x_m"], np.float64).reshape(-1, r["x_dim"])
                 s = np.round(q @ x.T, digits) + 0.0
@@ -169,7 +169,7 @@ def topk_cells(queries: DataFrame, index: Cells, k: int, probes: int | None = No
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # a block at a time
                 ids = np.frombuffer(r["ids"], np.int64)
                 m = np.frombuffer(r["m"], np.float64).reshape(len(ids), -1)
                 s = np.round(np.stack([np.frombuffer(q["q"], np.float64) for q in r["qs"]]) @ m.T, digits) + 0.0
